@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .language import op5_language
 from .mixing import OP4_SQL, op4_mixing
+from .near_duplicates import op7_near_duplicates
 from .packing import op3_packing
+from .repeats import op6_repeats
 from .token_output import op2_token_output
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_output": op2_token_output,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op5_language": op5_language,
+    "op6_repeats": op6_repeats,
+    "op7_near_duplicates": op7_near_duplicates,
 }
 ORACLES = {"op4_mixing": OP4_SQL}
