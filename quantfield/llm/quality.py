@@ -125,10 +125,9 @@ def judged(rows: DataFrame, cuts: DataFrame, q: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass; docs' columns. Texts are measured where they lie, for cutoffs and for verdicts."""
-    seen = measured(docs).withColumn("__stratum_of", stratum())
-    rows = seen.select("doc_id", F.col("__stratum_of").alias("stratum"), "__q.*")
-    cuts = materialize(cutoffs(rows, labels), "cutoffs")
+    """The rows of docs that pass; docs' columns. Measures are written with their rows, and read for both uses."""
+    seen = materialize(measured(docs).withColumn("__stratum_of", stratum()), "measured")
+    cuts = materialize(cutoffs(seen.select("doc_id", F.col("__stratum_of").alias("stratum"), "__q.*"), labels), "cutoffs")
     c = cuts.select(F.col("stratum").alias("__stratum"), F.struct(*GRID).alias("__cut"))
     kept = seen.join(c, F.col("__stratum_of") == F.col("__stratum"), "left").where(verdict("__q."))
     return kept.select(*[F.col(f"`{x}`") for x in docs.columns])
