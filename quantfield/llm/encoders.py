@@ -11,6 +11,8 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space other than space, tab, line feed, carriage return; and marks that join words.
@@ -22,7 +24,9 @@ _RUN_PARTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 #: Pieces in a generation of a worker's memory (it keeps two), and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 600_000, 48
+#: Pieces encoded as one text; the mark between words; how byte-level vocabularies write a space.
+GROUP, MARK, BYTE_SPACE = 64, "§", "Ġ"
 
 
 class PieceEncoder:
@@ -39,15 +43,45 @@ class PieceEncoder:
         self.words = style == "words"
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 65536 else "<u4"
         self.width = int(self.dtype[-1])
+        size = self.tok.get_vocab_size()
+        self.cuts = np.zeros(size, bool)
+        if self.words:
+            mark = self.tok.encode(MARK, add_special_tokens=False).ids
+            self.cuts[mark] = True
+            if len(mark) != 1:
+                self.cuts = None
+        else:
+            self.cuts[[i for t, i in self.tok.get_vocab().items() if t.startswith(BYTE_SPACE)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in got]
 
+    def _raw_pieces(self, keys: list[str]) -> list[bytes]:
+        """As _raw of each piece. Plain pieces go GROUP at a time as one text, and its ids are cut where a
+        piece begins: at ids whose token begins with a space, or at the id of a mark put between words."""
+        out: list[bytes] = [b""] * len(keys)
+        plain = [i for i, k in enumerate(keys) if k.split() == [k] and k[0] != "\0" and MARK not in k] if self.cuts is not None else []
+        rest = set(range(len(keys))).difference(plain)
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        glue = f" {MARK} " if self.words else " "
+        got = self.tok.encode_batch_fast([glue + glue.join([keys[i] for i in g]) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, got):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.cuts[ids]).tolist()
+            if len(at) != len(g):
+                rest.update(g)
+                continue
+            raw, w = ids.tobytes(), self.width
+            skip = w if self.words else 0
+            for i, a, z in zip(g, at, [*at[1:], len(ids)]):
+                out[i] = raw[a * w + skip : z * w]
+        for i, ids in zip(sorted(rest), self._raw([self._piece(keys[i]) for i in sorted(rest)])):
+            out[i] = ids
+        return out
+
     def _keys(self, text: str) -> list[str] | None:
         if (not text.isascii() or any(c in text for c in _ODD_ASCII)) and _ODD.search(text):
             return None
@@ -72,7 +106,7 @@ class PieceEncoder:
                 new.append(k)
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
-            young.update(zip(part, self._raw([self._piece(k) for k in part])))
+            young.update(zip(part, self._raw_pieces(part)))
 
     def _forget(self) -> None:
         if len(self.young) > CACHE_PIECES:
