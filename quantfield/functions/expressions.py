@@ -34,7 +34,7 @@ def code(x: Column, pred: Column, eb: float, radius: int = 32768) -> Column:
     """Residual in units of 2 eb, half away from zero, as radius + k; 0 where x must be kept raw."""
     diff = x - pred
     usable = ~F.isnan(x) & (F.abs(diff) < d(2.0 * radius * eb))
-    half = F.floor(F.abs(diff) * d(1 / eb)) + 1
+    half = F.floor(F.when(usable, F.abs(diff) * d(1 / eb))) + 1
     k = F.floor(half / 2).cast("long")
     signed = F.when(diff < 0, -k).otherwise(k)
     near = F.abs(pred + d(2 * eb) * signed - x) <= d(eb)
