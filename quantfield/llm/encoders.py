@@ -24,9 +24,9 @@ _RUN_PARTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 #: Pieces in a generation of a worker's memory (it keeps two), and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 600_000, 48
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
 #: Pieces encoded as one text; the mark between words; how byte-level vocabularies write a space.
-GROUP, MARK, BYTE_SPACE = 64, "§", "Ġ"
+GROUP, MARK, BYTE_SPACE = 128, "§", "Ġ"
 
 
 class PieceEncoder:

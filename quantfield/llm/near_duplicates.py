@@ -30,11 +30,13 @@ from .common import configure, materialize, partitions, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
-BUCKETS, ROWS, MANTISSA = 128, 5, 10
-BANDS = BUCKETS // ROWS
-#: Standard deviations of the estimate at the threshold that a pair may lack: 0.85 - 4.2 * sqrt(0.85 * 0.15 / 128).
-MARGIN = 0.132
-BLOCK = 256
+BUCKETS, ROWS, MANTISSA = 256, 5, 10
+#: Bands use the first BANDS * ROWS registers, estimates all.
+BANDS = 25
+#: How far under the threshold an estimate may be: 4.2 standard deviations of the estimate there, sqrt(0.85 * 0.15 / 256) each.
+MARGIN = 0.094
+BLOCK = 1024
+_BITS = BUCKETS.bit_length() - 1
 _PROBES = 24
 _RNG = np.random.default_rng(20240229)
 _WORD_KEYS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -75,14 +77,14 @@ def registers(s: np.ndarray) -> np.ndarray:
     """BUCKETS registers: leading zeros of a bucket's smallest hash in the high bits, MANTISSA bits below."""
     bucket = (s % np.uint64(BUCKETS)).astype(np.int64)
     low = np.full(BUCKETS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(low, bucket, s >> np.uint64(7))
+    np.minimum.at(low, bucket, s >> np.uint64(_BITS))
     full = np.zeros(BUCKETS, bool)
     full[bucket] = True
-    low &= np.uint64((1 << 57) - 1)
+    low &= np.uint64((1 << (64 - _BITS)) - 1)
     # The leading one's place from the exponent of the nearest double below.
     top = np.maximum(low, np.uint64(1))
     size = np.frexp((top >> np.uint64(5)).astype(np.float64))[1].astype(np.int64) + 5
-    zeros = 57 - size
+    zeros = 64 - _BITS - size
     shift = np.maximum(size - 1 - MANTISSA, 0).astype(np.uint64)
     reg = (zeros.astype(np.uint64) << np.uint64(MANTISSA)) | ((low >> shift) & np.uint64((1 << MANTISSA) - 1))
     reg = reg.astype("<u2")
@@ -170,19 +172,22 @@ def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
                     s = batch.column(c)[k].values
                     sides.append((s.field("rep").to_numpy(), s.field("component").to_numpy(), np.frombuffer(b"".join(s.field("registers").to_pylist()), "<u2").reshape(-1, BUCKETS)))
                 (ra, ca, xa), (rb, cb, xb) = sides
+                found = []
                 for i in range(0, len(ra), 64):
-                    equal = (xa[i : i + 64, None, :] == xb[None]).sum(2)
-                    e = estimate(equal)
+                    e = np.empty((len(ra[i : i + 64]), len(rb)))
+                    for j in range(len(e)):
+                        e[j] = estimate((xb == xa[i + j]).sum(1))
                     near = (e >= PERCENT / 100 - MARGIN) & (ca[i : i + 64, None] != cb[None])
                     near &= ra[i : i + 64, None] < rb[None] if batch.column(2)[k].as_py() else ra[i : i + 64, None] != rb[None]
                     at, to = np.nonzero(near)
-                    a, b, e = ra[i + at], rb[to], e[at, to]
-                    if not every:
-                        order = np.lexsort((b, a, -e))
-                        order = order[forest(a[order], b[order])]
-                        a, b = a[order], b[order]
-                    out_a.append(np.minimum(a, b))
-                    out_b.append(np.maximum(a, b))
+                    found.append((ra[i + at], rb[to], e[at, to]))
+                a, b, e = (np.concatenate(x) for x in zip(*found))
+                if not every:
+                    order = np.lexsort((b, a, -e))
+                    order = order[forest(a[order], b[order])]
+                    a, b = a[order], b[order]
+                out_a.append(np.minimum(a, b))
+                out_b.append(np.maximum(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
 
     return pairs.repartition(partitions(pairs.sparkSession)).mapInArrow(run, "a long, b long").distinct()

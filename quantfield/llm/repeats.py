@@ -34,7 +34,7 @@ from .common import configure, materialize, partitions, table
 
 WIDTH, GRAM = 200, 32
 #: Contexts of one anchor that one task compares; anchors with more are counted window by window.
-HOT_CONTEXTS = 400
+HOT_CONTEXTS = 20_000
 #: Bytes scanned at a time; places in a slice fit the low bits of a hash.
 SLICE, PLACE_BITS = 1 << 18, 20
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -118,7 +118,7 @@ def slices(texts: list[bytes], width: int = WIDTH):
 
 
 def run_rows(keyed: DataFrame, width: int) -> DataFrame:
-    """keyed: d1, d2, text. A row for each run: anchor, context, d1, d2, first, last (window starts)."""
+    """keyed: d1, d2, text. A row for each run: anchor, context, times, d1, d2, first, last (window starts)."""
 
     def run(batches):
         from xxhash import xxh3_64_intdigest as digest
@@ -130,11 +130,15 @@ def run_rows(keyed: DataFrame, width: int) -> DataFrame:
                 own, first, last, anchor = runs_of([x for _, _, x in part], width)
                 data = [x for _, _, x in part]
                 context = np.fromiter((digest(data[o][i : j + width]) for o, i, j in zip(own.tolist(), first.tolist(), last.tolist())), np.uint64, len(own))
+                # Runs that equal the one before (a text that repeats itself at once) become one row.
+                head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])))
+                tail = np.append(head[1:], len(own)) - 1
+                own, anchor, context, first, last, times = own[head], anchor[head], context[head], first[head], last[tail], tail - head + 1
                 row, at = np.array([k for k, _, _ in part])[own], np.array([a for _, a, _ in part])[own]
-                cols = anchor.view(np.int64), context.view(np.int64), d1[row], d2[row], (first + at).astype(np.int32), (last + at).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "d1", "d2", "first", "last"])
+                cols = anchor.view(np.int64), context.view(np.int64), times, d1[row], d2[row], (first + at).astype(np.int32), (last + at).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "context", "times", "d1", "d2", "first", "last"])
 
-    return keyed.mapInArrow(run, "anchor long, context long, d1 long, d2 int, first int, last int")
+    return keyed.mapInArrow(run, "anchor long, context long, times long, d1 long, d2 int, first int, last int")
 
 
 def context_rows(texts: DataFrame, width: int) -> DataFrame:
@@ -167,20 +171,23 @@ class Level:
     """A suffix array: fingerprints in order, and for each entry its place in the family's flags."""
 
     def __init__(self, high: np.ndarray, low: np.ndarray, entry: np.ndarray):
-        order = np.lexsort((low, high))
+        order = np.argsort(high, kind="stable")  # merges arrays that are in order already in one pass
         self.high, self.low, self.entry = high[order], low[order], entry[order]
 
-    def merged(self, other: Level) -> Level:
-        return Level(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("high", "low", "entry")))
+    def same(self) -> np.ndarray:
+        """Whether an entry equals the one before it."""
+        return np.append(False, (self.high[1:] == self.high[:-1]) & (self.low[1:] == self.low[:-1]))
 
-    def repeats(self) -> np.ndarray:
-        """Entries that equal a neighbour."""
-        same = (self.high[1:] == self.high[:-1]) & (self.low[1:] == self.low[:-1])
-        return self.entry[np.append(same, False) | np.append(False, same)]
+    def merged(self, other: Level) -> Level:
+        """One level of both, with one entry of equal ones: they are known to be repeated."""
+        out = Level(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("high", "low", "entry")))
+        keep = ~out.same()
+        out.high, out.low, out.entry = out.high[keep], out.low[keep], out.entry[keep]
+        return out
 
 
 class IndexFamily:
-    """Levels of geometrically growing size. add() returns nothing; hit says of each entry whether it is repeated."""
+    """Levels of geometrically growing size; hit says of each entry added whether it is repeated."""
 
     def __init__(self):
         self.levels: list[Level] = []
@@ -190,12 +197,16 @@ class IndexFamily:
         start = len(self.hit)
         self.hit = np.concatenate([self.hit, np.zeros(len(high), bool)])
         new = Level(high, low, np.arange(start, start + len(high)))
-        self.hit[new.repeats()] = True
+        same = new.same()
+        self.hit[new.entry[same | np.append(same[1:], False)]] = True
         for level in self.levels:
-            # Both are in order: one scan finds, for each new entry, where its equals in the level begin.
-            both = new.merged(level)
-            self.hit[both.repeats()] = True
-        self.levels.append(new)
+            # Both are in order: the scan finds where each new entry would stand in the level.
+            at = np.minimum(np.searchsorted(level.high, new.high), len(level.high) - 1)
+            equal = (level.high[at] == new.high) & (level.low[at] == new.low)
+            self.hit[new.entry[equal]] = True
+            self.hit[level.entry[at[equal]]] = True
+        if len(high):
+            self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2].high) <= 2 * len(self.levels[-1].high):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last)
@@ -247,11 +258,11 @@ def repeated_stretches(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """d1, d2, spans: for each text with repeated bytes, stretches (first, last), not merged yet."""
     spark = keyed.sparkSession
     runs = materialize(run_rows(keyed, width), "runs")
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed"))
+    often = runs.groupBy("anchor").agg(F.sum("times").alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1").select("anchor", (F.col("a") != F.col("z")).alias("mixed"))
     shared = materialize(runs.join(often, "anchor"), "shared-runs")
     mixed = shared.where("mixed")
     who = F.xxhash64("d1", "d2", "first")
-    contexts = materialize(mixed.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), *[F.min_by(c, who).alias(c) for c in ("d1", "d2", "first", "last")]), "contexts")
+    contexts = materialize(mixed.groupBy("anchor", "context").agg(F.sum("times").alias("n"), *[F.min_by(c, who).alias(c) for c in ("d1", "d2", "first", "last")]), "contexts")
     several = contexts.where("n > 1").select("anchor", "context")
     marks = shared.where("not mixed").unionByName(mixed.join(several, ["anchor", "context"], "left_semi").withColumn("mixed", F.lit(True)))
     marks = marks.select("d1", "d2", "first", (F.col("last") + width).alias("last"))

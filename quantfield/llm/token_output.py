@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, style: str = "
     ranks = spark.sparkContext.broadcast(rank_of)
 
     def run(batches):
-        shard, block, start, held = TaskContext.get().partitionId(), 0, 0, []
+        shard, block, start, held, rank_of = TaskContext.get().partitionId(), 0, 0, [], ranks.value
 
         def flush():
             got = np.concatenate([x for _, x in held])
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, style: str = "
         size = 0
         for b in batches:
             for doc_id, width, ids in zip(*(c.to_pylist() for c in b.columns)):
-                held.append((doc_id, ranks.value[np.frombuffer(ids, f"<u{width}")]))
+                held.append((doc_id, rank_of[np.frombuffer(ids, f"<u{width}")]))
                 size += len(held[-1][1])
                 if size >= BLOCK_IDS:
                     out, n = flush()
