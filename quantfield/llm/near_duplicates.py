@@ -9,9 +9,10 @@ for registers that collide by chance, estimates the Jaccard similarity; pairs wh
 threshold by more than MARGIN are dropped, the rest is confirmed on full sets.
 
 Documents with equal sets are one candidate. Groups are cut into blocks of about BLOCK members, and blocks
-compared pairwise in numpy, so no task holds a group whole. A first round confirms only a spanning forest
-of each pair of blocks, highest estimates first; a second all pairs left between components. Links within
-a component add nothing to it, so the components are those of all candidate pairs.
+compared pairwise in numpy, so no task holds a group whole. Two rounds confirm pairs of each group's members with a
+centre; the next a forest that joins the components left in each pair of blocks, highest estimates
+first; the last all pairs left between components. Links within a component add nothing to it, so the
+components are those of all candidate pairs.
 
 Defined results: a null text or one without words has an empty set and no links. Texts with fewer words
 than a shingle are one shingle, all their words. Rows with one doc_id are one node, which is in every
@@ -133,18 +134,44 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
-    """members: key, size, rep, component, registers. left, right: members of two blocks of a key, or of one twice."""
+    """members: key, band, size, rep, component, registers. band, and left and right: members of two blocks of a key, or of one twice."""
     blocks = members.withColumn("of", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), "of"))
-    blocks = blocks.groupBy("key", "of", "block").agg(F.collect_list(F.struct("rep", "component", "registers")).alias("left"))
-    alone = blocks.where("of = 1").select("left", F.col("left").alias("right"), F.lit(True).alias("same"))
-    several = blocks.where("of > 1").select("key", "block", "left")
+    blocks = blocks.groupBy("key", "band", "of", "block").agg(F.collect_list(F.struct("rep", "component", "registers")).alias("left"))
+    alone = blocks.where("of = 1").select("band", "left", F.col("left").alias("right"), F.lit(True).alias("same"))
+    several = blocks.where("of > 1").select("key", "band", "block", "left")
     paired = several.join(several.select("key", F.col("block").alias("block2"), F.col("left").alias("right")), "key").where("block <= block2")
-    return alone.unionByName(paired.select("left", "right", (F.col("block") == F.col("block2")).alias("same")))
+    return alone.unionByName(paired.select("band", "left", "right", (F.col("block") == F.col("block2")).alias("same")))
+
+
+def first_shared(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
+    """Whether rows of x and y, which agree in `band`, agree in no band before it."""
+    out = np.ones(len(x), bool)
+    for i in range(0, len(x), 1 << 14):
+        j = slice(i, i + (1 << 14))
+        out[j] = ~(x[j, : band * ROWS] == y[j, : band * ROWS]).reshape(len(x[j]), band, ROWS).all(2).any(1)
+    return out
+
+
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """a, b (a < b): each member of a key and the key's centre, a member chosen by hash, where their components differ
+    and their estimate is near the threshold or over it. One centre for a key: as many pairs as members at most."""
+    first = F.xxhash64("rep", F.lit(turn))
+    centres = members.groupBy("key").agg(F.min_by(F.struct("rep", "component", "registers"), first).alias("c"))
+    met = members.join(centres, "key").where(F.col("component") != F.col("c.component"))
+    met = met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"), "registers", F.col("c.registers").alias("other"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BUCKETS) for k in (2, 3))
+            near = estimate((x == y).sum(1)) >= PERCENT / 100 - MARGIN
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[near], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
     """a, b (a < b): pairs of different components whose estimate is near the threshold or over it. every: all of
-    them; otherwise a spanning forest of them for each pair of blocks."""
+    them; otherwise a forest that joins the components of each pair of blocks. A pair counts in the first band that both share."""
 
     def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
         head: dict[int, int] = {}
@@ -169,22 +196,24 @@ def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
             for k in range(batch.num_rows):
                 sides = []
                 for c in (0, 1):
-                    s = batch.column(c)[k].values
+                    s = batch.column(c + 1)[k].values
                     sides.append((s.field("rep").to_numpy(), s.field("component").to_numpy(), np.frombuffer(b"".join(s.field("registers").to_pylist()), "<u2").reshape(-1, BUCKETS)))
                 (ra, ca, xa), (rb, cb, xb) = sides
-                found = []
+                band, same, found = batch.column(0)[k].as_py(), batch.column(3)[k].as_py(), []
                 for i in range(0, len(ra), 64):
                     e = np.empty((len(ra[i : i + 64]), len(rb)))
                     for j in range(len(e)):
                         e[j] = estimate((xb == xa[i + j]).sum(1))
                     near = (e >= PERCENT / 100 - MARGIN) & (ca[i : i + 64, None] != cb[None])
-                    near &= ra[i : i + 64, None] < rb[None] if batch.column(2)[k].as_py() else ra[i : i + 64, None] != rb[None]
+                    near &= ra[i : i + 64, None] < rb[None] if same else ra[i : i + 64, None] != rb[None]
                     at, to = np.nonzero(near)
-                    found.append((ra[i + at], rb[to], e[at, to]))
-                a, b, e = (np.concatenate(x) for x in zip(*found))
+                    new = first_shared(xa[i + at], xb[to], band)
+                    at, to = at[new], to[new]
+                    found.append((ra[i + at], rb[to], e[at, to], ca[i + at], cb[to]))
+                a, b, e, c, d = (np.concatenate(x) for x in zip(*found))
                 if not every:
                     order = np.lexsort((b, a, -e))
-                    order = order[forest(a[order], b[order])]
+                    order = order[forest(c[order], d[order])]
                     a, b = a[order], b[order]
                 out_a.append(np.minimum(a, b))
                 out_b.append(np.maximum(a, b))
@@ -224,25 +253,32 @@ def near_components(docs: DataFrame) -> DataFrame:
     # Registers and bands are the same in all rows of a set: those of the row chosen stand for it.
     member = known.join(one, ["node", "doc_id", "text_key"], "left_semi").select(F.col("node").alias("rep"), "doc_id", "text_key", "registers", "bands")
     member = materialize(member.dropDuplicates(["rep"]), "sets")
-    bands = member.select("rep", F.explode("bands").alias("key"))
+    bands = member.select("rep", F.posexplode("bands").alias("band", "key"))
     groups = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     grouped = materialize(bands.join(groups, "key"), "groups")
     sketch = member.select("rep", "registers")
-
-    first = materialize(candidate_pairs(block_pairs(grouped.join(sketch, "rep").withColumn("component", F.col("rep"))), False), "pairs")
     texts = confirmable(docs, member, grouped)
-    links = materialize(confirmed(first, texts), "links")
-    label = materialize(components(links), "labels")
 
-    labelled = grouped.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = candidate_pairs(block_pairs(labelled.join(open_keys, "key").join(sketch, "rep")), True)
-    more = materialize(confirmed(rest.join(first, ["a", "b"], "left_anti"), texts), "links")
+    def labelled(label: DataFrame) -> DataFrame:
+        """Members of the keys that several components still share."""
+        m = grouped.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_keys = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        return m.join(open_keys, "key").join(sketch, "rep")
+
+    links = tried = None
+    label = docs.sparkSession.createDataFrame([], "node long, component long")
+    for ask in (lambda m: star_pairs(m, 0), lambda m: star_pairs(m, 1), lambda m: candidate_pairs(block_pairs(m), False), lambda m: candidate_pairs(block_pairs(m), True)):
+        pairs = ask(labelled(label))
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(confirmed(pairs, texts), "links")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        label = materialize(components(links), "labels")
 
     # A doc_id with several texts joins their sets.
     spread = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     spread = known.join(spread, "doc_id").select("a", F.col("node").alias("b"))
-    label = components(links.unionByName(more).unionByName(spread))
+    label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(spread))
     placed = materialize(rows.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     heads = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("head"))
     linked = placed.where("n_shingles > 0 and doc_id is not null").join(heads, "component")
