@@ -1,7 +1,7 @@
 """Tokenising whole texts with the tokenizers library, a word at a time.
 
 Both vocabularies cut a text at white space before any merge, so a text's ids are the ids of its
-pieces in order. Workers remember the ids of pieces; a text goes through the library whole only
+pieces in order. Workers remember pieces' ids; a text goes through the library whole only
 where cutting at spaces could differ from its own cut (rare white space, special tokens).
 """
 
@@ -12,6 +12,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -23,16 +25,56 @@ _RUNS = re.compile(r"\s\s\s|  ")
 _RUN_PARTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
-#: Pieces in a generation of a worker's memory (it keeps two), and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 48
+#: Pieces and their characters that a worker remembers; beyond either it begins anew.
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 1 << 25
+#: Characters looked up together, and words whose ids are gathered together.
+PART_CHARS, PART_WORDS = 1 << 22, 1 << 19
 #: Pieces encoded as one text; the mark between words; how byte-level vocabularies write a space.
 GROUP, MARK, BYTE_SPACE = 128, "§", "Ġ"
 
 
+class Pool:
+    """Ids of pieces one after the other in one growing array; row k of start and length is piece k's."""
+
+    def __init__(self, dtype: str):
+        self.row: dict[str, int] = {}
+        self.ids, self.n_ids, self.chars = np.zeros(1 << 16, dtype), 0, 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def append(self, ids: np.ndarray) -> int:
+        at, self.n_ids = self.n_ids, self.n_ids + len(ids)
+        if self.n_ids > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * self.n_ids)
+        self.ids[at : self.n_ids] = ids
+        return at
+
+    def add(self, keys: list[str], start: np.ndarray, length: np.ndarray) -> None:
+        n = len(self.row)
+        self.row.update(zip(keys, range(n, n + len(keys))))
+        self.chars += sum(map(len, keys))
+        if len(self.row) > len(self.start):
+            self.start, self.length = (np.resize(x, 2 * len(self.row)) for x in (self.start, self.length))
+        self.start[n : n + len(keys)], self.length[n : n + len(keys)] = start, length
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, and where each row's end."""
+        length = self.length[rows]
+        end = np.cumsum(length)
+        out = np.empty(int(end[-1]) if len(end) else 0, self.ids.dtype)
+        for i in range(0, len(rows), PART_WORDS):
+            n, z = length[i : i + PART_WORDS], end[i : i + PART_WORDS]
+            first = int(z[0] - n[0])
+            at = np.repeat(self.start[rows[i : i + PART_WORDS]] - (z - n), n)
+            at += np.arange(first, int(z[-1]))
+            out[first : int(z[-1])] = self.ids[at]
+        return out, end
+
+
 class PieceEncoder:
     """ids(texts): for each text its ids as little-endian bytes of `dtype`. style: "spaces" keeps
     white space (byte-level vocabulary), "words" drops it (word vocabulary).
 
+    Arrow splits texts and numbers their distinct pieces, so a piece is asked for once in each part.
     Keys: "x" is the piece " x" ("x" itself for words), "\\0x" a piece without the space before.
     """
 
@@ -52,86 +94,82 @@ class PieceEncoder:
                 self.cuts = None
         else:
             self.cuts[[i for t, i in self.tok.get_vocab().items() if t.startswith(BYTE_SPACE)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
-
-    def _raw_pieces(self, keys: list[str]) -> list[bytes]:
-        """As _raw of each piece. Plain pieces go GROUP at a time as one text, and its ids are cut where a
-        piece begins: at ids whose token begins with a space, or at the id of a mark put between words."""
-        out: list[bytes] = [b""] * len(keys)
-        plain = [i for i, k in enumerate(keys) if k.split() == [k] and k[0] != "\0" and MARK not in k] if self.cuts is not None else []
-        rest = set(range(len(keys))).difference(plain)
-        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
-        glue = f" {MARK} " if self.words else " "
-        got = self.tok.encode_batch_fast([glue + glue.join([keys[i] for i in g]) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, got):
-            ids = np.array(e.ids, self.dtype)
-            at = np.flatnonzero(self.cuts[ids]).tolist()
-            if len(at) != len(g):
-                rest.update(g)
-                continue
-            raw, w = ids.tobytes(), self.width
-            skip = w if self.words else 0
-            for i, a, z in zip(g, at, [*at[1:], len(ids)]):
-                out[i] = raw[a * w + skip : z * w]
-        for i, ids in zip(sorted(rest), self._raw([self._piece(keys[i]) for i in sorted(rest)])):
-            out[i] = ids
-        return out
+        self.pool = Pool(self.dtype)
 
-    def _keys(self, text: str) -> list[str] | None:
-        if (not text.isascii() or any(c in text for c in _ODD_ASCII)) and _ODD.search(text):
-            return None
-        if self.words:
-            return text.split()
-        if any(c in text for c in _RUN_PARTS) and _RUNS.search(text):
-            return [c[1:] if c[0] == " " else "\0" + c for c in _CHUNK.findall(text)]
-        keys = text.split(" ")
-        keys[0] = "\0" + keys[0]
-        return keys
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[str]) -> None:
+        """Plain pieces go GROUP at a time as one text, and its ids are cut where a piece begins: at ids
+        whose token begins with a space, or at the id of a mark put between words. Others go alone."""
+        plain = [k for k in keys if k.split() == [k] and k[0] != "\0" and MARK not in k] if self.cuts is not None else []
+        rest = list(set(keys).difference(plain))
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        glue, skip = (f" {MARK} ", 1) if self.words else (" ", 0)
+        for i in range(0, len(groups), 16):
+            part = groups[i : i + 16]
+            for g, ids in zip(part, self._raw([glue + glue.join(g) for g in part])):
+                at = np.flatnonzero(self.cuts[ids])
+                if len(at) != len(g):
+                    rest += g
+                    continue
+                self.pool.add(g, self.pool.append(ids) + at + skip, np.diff(at, append=len(ids)) - skip)
+        for i in range(0, len(rest), 2000):
+            part = rest[i : i + 2000]
+            found = self._raw([self._piece(k) for k in part])
+            size = np.array([len(x) for x in found], np.int64)
+            self.pool.add(part, self.pool.append(np.concatenate(found)) + np.cumsum(size) - size, size)
 
     def _piece(self, key: str) -> str:
         return key if self.words else key[1:] if key[:1] == "\0" else " " + key
 
-    def _learn(self, keys: set[str]) -> None:
-        young, old = self.young, self.old
-        new = []
-        for k in keys:
-            if k in old:
-                young[k] = old[k]
+    def _odd(self, text: str) -> bool:
+        return (not text.isascii() or any(c in text for c in _ODD_ASCII)) and bool(_ODD.search(text))
+
+    def _part(self, texts: list[str]) -> list[bytes]:
+        """Of one part of texts, each at hand whole."""
+        out = [b""] * len(texts)
+        simple, runs = [], []
+        for k, t in enumerate(texts):
+            if self._odd(t):
+                out[k] = self._raw([t])[0].tobytes()
+            elif not self.words and any(c in t for c in _RUN_PARTS) and _RUNS.search(t):
+                runs.append(k)
             else:
-                new.append(k)
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            young.update(zip(part, self._raw_pieces(part)))
-
-    def _forget(self) -> None:
-        if len(self.young) > CACHE_PIECES:
-            self.old = {k: v for k, v in self.young.items() if len(k) <= CACHE_CHARS}
-            self.young = {}
+                simple.append(k)
+        if self.words:
+            cut = pc.ascii_split_whitespace(pa.array([texts[k] for k in simple], pa.large_string()))
+        else:
+            cut = pc.split_pattern(pa.array(["\0" + texts[k] for k in simple], pa.large_string()), " ")
+        chunks = [[c[1:] if c[0] == " " else "\0" + c for c in _CHUNK.findall(texts[k])] for k in runs]
+        sizes = np.array([*pc.list_value_length(cut).to_pylist(), *map(len, chunks)], np.int64)
+        flat = pa.concat_arrays([cut.flatten(), pa.array([x for c in chunks for x in c], pa.large_string())]).dictionary_encode()
+        # One string of all keys, cut again: no text here holds the sign between them.
+        one = pa.LargeListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary)
+        keys = pc.binary_join(one, pa.scalar("\x1f", pa.large_string()))[0].as_py().split("\x1f") if len(flat) else []
+        if len(self.pool.row) > CACHE_PIECES or self.pool.chars > CACHE_CHARS:
+            self.pool = Pool(self.dtype)
+        row = self.pool.row
+        found = list(map(row.get, keys))
+        if None in found:
+            self._learn([k for k, r in zip(keys, found) if r is None])
+            found = list(map(row.__getitem__, keys))
+        rows = np.array(found, np.int64)[flat.indices.to_numpy()]
+        ids, end = self.pool.gather(rows)
+        end = np.append(0, end)[np.append(0, np.cumsum(sizes))].tolist()
+        for k, a, z in zip([*simple, *runs], end, end[1:]):
+            out[k] = ids[a:z].tobytes()
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 64):
-            part = [t or "" for t in texts[i : i + 64]]
-            cut = [self._keys(t) for t in part]
-            found = [list(map(self.young.get, k)) if k is not None else None for k in cut]
-            new: set[str] = set()
-            for k, v in zip(cut, found):
-                if k is not None and None in v:
-                    new.update([x for x, y in zip(k, v) if y is None])
-            self._learn(new)
-            get = self.young.__getitem__
-            for t, k, v in zip(part, cut, found):
-                if k is None:
-                    out += self._raw([t])
-                else:
-                    out.append(b"".join(map(get, k) if None in v else v))
-            self._forget()
-        return out
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t or "")
+            size += len(part[-1])
+            if size >= PART_CHARS:
+                out += self._part(part)
+                part, size = [], 0
+        return out + (self._part(part) if part else [])
 
 
 @lru_cache(maxsize=4)
