@@ -9,10 +9,10 @@ for registers that collide by chance, estimates the Jaccard similarity; pairs wh
 threshold by more than MARGIN are dropped, the rest is confirmed on full sets.
 
 Documents with equal sets are one candidate. Groups are cut into blocks of about BLOCK members, and blocks
-compared pairwise in numpy, so no task holds a group whole. Two rounds confirm pairs of each group's members with a
-centre; the next a forest that joins the components left in each pair of blocks, highest estimates
-first; the last all pairs left between components. Links within a component add nothing to it, so the
-components are those of all candidate pairs.
+compared pairwise in numpy, so no task holds a group whole. A first round confirms only a forest that
+joins the components in each pair of blocks, highest estimates first; a second all pairs left between
+components. A pair counts in the first band that both share, so groups of several bands give it once.
+Links within a component add nothing to it, so the components are those of all candidate pairs.
 
 Defined results: a null text or one without words has an empty set and no links. Texts with fewer words
 than a shingle are one shingle, all their words. Rows with one doc_id are one node, which is in every
@@ -152,23 +152,6 @@ def first_shared(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """a, b (a < b): each member of a key and the key's centre, a member chosen by hash, where their components differ
-    and their estimate is near the threshold or over it. One centre for a key: as many pairs as members at most."""
-    first = F.xxhash64("rep", F.lit(turn))
-    centres = members.groupBy("key").agg(F.min_by(F.struct("rep", "component", "registers"), first).alias("c"))
-    met = members.join(centres, "key").where(F.col("component") != F.col("c.component"))
-    met = met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"), "registers", F.col("c.registers").alias("other"))
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BUCKETS) for k in (2, 3))
-            near = estimate((x == y).sum(1)) >= PERCENT / 100 - MARGIN
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[near], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
 def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
     """a, b (a < b): pairs of different components whose estimate is near the threshold or over it. every: all of
     them; otherwise a forest that joins the components of each pair of blocks. A pair counts in the first band that both share."""
@@ -265,20 +248,17 @@ def near_components(docs: DataFrame) -> DataFrame:
         open_keys = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         return m.join(open_keys, "key").join(sketch, "rep")
 
-    links = tried = None
-    label = docs.sparkSession.createDataFrame([], "node long, component long")
-    for ask in (lambda m: star_pairs(m, 0), lambda m: star_pairs(m, 1), lambda m: candidate_pairs(block_pairs(m), False), lambda m: candidate_pairs(block_pairs(m), True)):
-        pairs = ask(labelled(label))
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(confirmed(pairs, texts), "links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        label = materialize(components(links), "labels")
+    alone = docs.sparkSession.createDataFrame([], "node long, component long")
+    first = materialize(candidate_pairs(block_pairs(labelled(alone)), False), "pairs")
+    links = materialize(confirmed(first, texts), "links")
+    label = materialize(components(links), "labels")
+    rest = candidate_pairs(block_pairs(labelled(label)), True)
+    more = materialize(confirmed(rest.join(first, ["a", "b"], "left_anti"), texts), "links")
 
     # A doc_id with several texts joins their sets.
     spread = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     spread = known.join(spread, "doc_id").select("a", F.col("node").alias("b"))
-    label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(spread))
+    label = components(links.unionByName(more).unionByName(spread))
     placed = materialize(rows.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     heads = placed.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("head"))
     linked = placed.where("n_shingles > 0 and doc_id is not null").join(heads, "component")
