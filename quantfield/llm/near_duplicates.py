@@ -143,12 +143,13 @@ def block_pairs(members: DataFrame) -> DataFrame:
     return alone.unionByName(paired.select("band", "left", "right", (F.col("block") == F.col("block2")).alias("same")))
 
 
-def first_shared(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
-    """Whether rows of x and y, which agree in `band`, agree in no band before it."""
-    out = np.ones(len(x), bool)
-    for i in range(0, len(x), 1 << 14):
-        j = slice(i, i + (1 << 14))
-        out[j] = ~(x[j, : band * ROWS] == y[j, : band * ROWS]).reshape(len(x[j]), band, ROWS).all(2).any(1)
+def band_marks(reg: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of each row of registers."""
+    x = reg[:, : BANDS * ROWS].reshape(len(reg), BANDS, ROWS).astype(np.uint64)
+    out = np.zeros((len(reg), BANDS), np.uint64)
+    for k in range(ROWS):
+        out = (out ^ x[:, :, k]) * _WORD_KEYS[k]
+        out ^= out >> np.uint64(29)
     return out
 
 
@@ -183,16 +184,15 @@ def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
                     sides.append((s.field("rep").to_numpy(), s.field("component").to_numpy(), np.frombuffer(b"".join(s.field("registers").to_pylist()), "<u2").reshape(-1, BUCKETS)))
                 (ra, ca, xa), (rb, cb, xb) = sides
                 band, same, found = batch.column(0)[k].as_py(), batch.column(3)[k].as_py(), []
-                for i in range(0, len(ra), 64):
-                    e = np.empty((len(ra[i : i + 64]), len(rb)))
-                    for j in range(len(e)):
-                        e[j] = estimate((xb == xa[i + j]).sum(1))
-                    near = (e >= PERCENT / 100 - MARGIN) & (ca[i : i + 64, None] != cb[None])
-                    near &= ra[i : i + 64, None] < rb[None] if same else ra[i : i + 64, None] != rb[None]
-                    at, to = np.nonzero(near)
-                    new = first_shared(xa[i + at], xb[to], band)
-                    at, to = at[new], to[new]
-                    found.append((ra[i + at], rb[to], e[at, to], ca[i + at], cb[to]))
+                ma, mb = band_marks(xa), band_marks(xb)
+                for j in range(len(ra)):
+                    new = (cb != ca[j]) & (rb > ra[j] if same else rb != ra[j])
+                    if band:
+                        new &= ~(mb[:, :band] == ma[j, :band]).any(1)
+                    to = np.flatnonzero(new)
+                    e = estimate((xb[to] == xa[j]).sum(1))
+                    to, e = to[e >= PERCENT / 100 - MARGIN], e[e >= PERCENT / 100 - MARGIN]
+                    found.append((np.full(len(to), ra[j]), rb[to], e, np.full(len(to), ca[j]), cb[to]))
                 a, b, e, c, d = (np.concatenate(x) for x in zip(*found))
                 if not every:
                     order = np.lexsort((b, a, -e))
