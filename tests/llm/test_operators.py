@@ -200,6 +200,27 @@ def test_near_duplicates_as_brute_force(spark, odd, docs):
     assert near_duplicates.near_components(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_short_texts(spark):
+    r, rows = random.Random(12), []
+    for k in range(1500):  # one word more at the end: 10 to 25 words, similarities from 6 / 7 to 21 / 22
+        w = [f"w{k}_{r.randint(0, 10**6)}" for _ in range(r.randint(10, 24))]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, f"x{r.randint(0, 10**6)}"]))]
+    want = near_duplicates.brute_force(rows)
+    assert all(want[2 * k + 1][1] == 2 * k for k in range(1500))
+    got = near_duplicates.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_small_sets_in_groups():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 30))).astype(np.uint64) for _ in range(20)]
+    raw = [None if k % 5 == 2 else s.tobytes() for k, s in enumerate(sets)]
+    shared = near_duplicates.Overlaps(raw[:8], raw[8:])
+    for j in range(8):
+        want = [0 if raw[j] is None or raw[8 + k] is None else len(np.intersect1d(sets[j], sets[8 + k])) for k in range(12)]
+        assert shared(j).tolist() == want
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(k, k + 1) for k in range(40)] + [(100 + r.randint(0, 30), 100 + r.randint(0, 30)) for _ in range(25)] + [(7, 7)]
