@@ -74,8 +74,8 @@ def search_block(q_ids, q, q_norm, limit, c_ids, c, c_norm, k=K):
         f = int(np.abs(q[i]).argmax())
         u, t = q[i, f] / q_norm[i], min(1.0, need[i])
         slack = np.sqrt(max(0.0, 1 - t * t)) * np.sqrt(max(0.0, 1 - u * u)) + 1e-9
-        # A cosine of t or more leaves the unit vector this range at coordinate f.
-        keep = np.flatnonzero((unit[:, f] >= u * t - slack) & ((unit[:, f] <= u * t + slack) | (u >= t) | (u <= -t)))
+        # A cosine of t or more leaves the unit vector this range at coordinate f, up to 1 or down to -1 where u is that steep itself.
+        keep = np.flatnonzero(((unit[:, f] >= u * t - slack) | (u <= -t)) & ((unit[:, f] <= u * t + slack) | (u >= t)))
         out.append((i, keep, exact_products(q[i : i + 1], c[keep])[0]))
     for j in range(0, len(flat), 64):
         some = flat[j : j + 64]

@@ -304,6 +304,25 @@ def test_top_k_odd_vectors(spark):
     assert top_k.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 3, 16])
+def test_top_k_steep_queries(monkeypatch, dim):
+    r, k, met = np.random.default_rng(11), 5, []
+    at, sign = r.integers(0, dim, 400), r.choice([-1, 1], 400)
+    c = r.normal(size=(400, dim)) * 4
+    c[np.arange(400), at] = sign * r.uniform(95, 110, 400)  # one large coordinate of either sign
+    c, ids = np.floor(c), np.arange(400)
+    q = np.concatenate([c[:40], 64 * np.eye(dim), -64 * np.eye(dim)])
+    q_ids, norms = np.append(np.arange(40), 1000 + np.arange(2 * dim)), lambda x: np.sqrt((x * x).sum(1))
+    scores = (q @ c.T).astype(np.int64)
+    want = [sorted((-s, i) for s, i in zip(row.tolist(), ids.tolist()) if i != q_id)[:k] for row, q_id in zip(scores, q_ids)]
+    limit = np.array([-x[-1][0] for x in want], np.float64)
+    real = top_k.exact_products
+    monkeypatch.setattr(top_k, "exact_products", lambda a, b: met.append((len(a), len(b))) or real(a, b))
+    got = set(zip(*(x.tolist() for x in top_k.search_block(q_ids, q, norms(q), limit, ids, c, norms(c), k))))
+    assert got == {(int(q_id), i, -s) for q_id, x in zip(q_ids, want) for s, i in x}
+    assert len(met) == len(q) and all(a == 1 and b < 400 for a, b in met)  # every query was steep
+
+
 def test_urls(spark):
     rows = [(1, "https://EXAMPLE.com/en/7x?q"), (2, "http://a.example.com/en/1"), (3, "x://notcom/en/"), (4, None), (5, "no scheme"), (6, "http://b.example.net/de/8#x"), (7, "http://b.net/de/1"), (8, "http://h?x=/p"), (9, "http://h/p\n/q#f"), (9, "http://h/p")]
     got = {(r.page_id, r.path): r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))).collect()}
