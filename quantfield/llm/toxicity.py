@@ -15,6 +15,7 @@ Rows are scored one by one: repeated rows and ids do not matter. Columns besides
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,16 @@ from .common import configure, held_out, table
 SAMPLE_ROWS = 3000
 BUCKETS, WIDTH, SIZES = 1 << 17, 8, (3, 4, 5)
 STEPS, RATE, DECAY, GAIN, SURE = 60, 0.02, 1e-4, 100.0, 3.0
-THRESHOLD = 0.7
+THRESHOLD, LONG = 0.7, 64
 
 
-def grams(word: str) -> list[int]:
+def grams(word: str) -> Iterator[int]:
+    """Buckets of a word's n-grams, one by one: a word can be a whole text."""
     w = f"<{word}>"
-    found = [w] + [w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in found]
+    yield zlib.crc32(w.encode()) % BUCKETS
+    for n in SIZES:
+        for i in range(len(w) - n + 1):
+            yield zlib.crc32(w[i : i + n].encode()) % BUCKETS
 
 
 def words(text: str | None) -> list[str]:
@@ -44,13 +48,13 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     count: dict[str, int] = {}
     for w in words(text):
         count[w] = count.get(w, 0) + 1
-    ids, share, total = [], [], max(1, sum(count.values()))
+    ids, share, total = [np.zeros(0, np.int64)], [np.zeros(0)], max(1, sum(count.values()))
     for w, n in count.items():
-        g = grams(w[:64])
-        ids += g
-        share += [n / len(g) / total] * len(g)
-    u, inverse = np.unique(np.array(ids, np.int64), return_inverse=True)
-    return u, np.bincount(inverse, np.array(share), len(u)).astype(np.float32)
+        g = np.fromiter(grams(w), np.int64)
+        ids.append(g)
+        share.append(np.full(len(g), n / len(g) / total))
+    u, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+    return u, np.bincount(inverse, np.concatenate(share), len(u)).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
@@ -96,15 +100,17 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
 
 
 class WordLogits(dict):
-    """A word's mean logit, remembered."""
+    """A word's mean logit, remembered unless the word is over LONG characters."""
 
     def __init__(self, logits: np.ndarray):
         super().__init__()
         self.logits = logits.tolist()
 
     def __missing__(self, word: str) -> float:
-        g = grams(word[:64])
-        v = self[word] = sum(map(self.logits.__getitem__, g)) / len(g)
+        n = 1 + sum(max(0, len(word) + 3 - k) for k in SIZES)
+        v = sum(map(self.logits.__getitem__, grams(word))) / n
+        if len(word) <= LONG:
+            self[word] = v
         return v
 
 

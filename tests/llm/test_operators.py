@@ -263,6 +263,15 @@ def test_toxicity(spark, odd, labels):
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
 
 
+def test_toxicity_of_long_words():
+    fill = "abcdefghij" * 10
+    texts = [f"{fill}{'vile' if k % 2 else 'kind'}{k}" for k in range(200)]  # one word each, alike in its first 100 characters
+    known = toxicity.WordLogits(toxicity.train(texts, [k % 2 for k in range(200)])[0])
+    assert known[fill + "vile7"] > known[fill + "kind7"] and not known.keys()
+    assert np.isclose(known["vile"], np.mean([known.logits[g] for g in toxicity.grams("vile")]))
+    assert np.isclose(toxicity.bag(f"{fill}x {fill}y")[1].sum(), 1)
+
+
 def test_language(spark, odd):
     got = {r.doc_id: r for r in language.identify(odd).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[3].score == 0
