@@ -3,11 +3,12 @@ the longest phrases that occur in it, and the language that needs the fewest, no
 
 An automaton walks on while the phrase goes on; where it cannot, the phrase ends and the next begins with
 the symbol at hand. With that step built into its table, cutting is one lookup for each symbol, done for
-all languages and many stretches of text at a time. Symbols are lower-case letters; any run of others
-is one blank. Texts are walked in stretches of STRETCH symbols, and phrases end with the stretch.
+all languages and many stretches of text at a time. Symbols are the UTF-8 bytes of lower-case letters, so letters
+of any script stay apart; any run of others is one blank. Texts are walked in stretches of STRETCH symbols, and phrases end with the stretch.
 
 Sample, for each language: documents that are not held out, dealt by the hash of their text into PLACES
-places, one of each, as many as make up SAMPLE_SYMBOLS symbols. Normalised: phrases * log2(size of the
+places, one of each, SAMPLE_SYMBOLS symbols of them together: the same share of each text, where short ones leave
+theirs to the others. Normalised: phrases * log2(size of the
 sample) / symbols, bits for each symbol. The score is 1 less the ratio of the best to the next
 best, halved from 1 where there is no other language.
 
@@ -18,8 +19,6 @@ besides doc_id, text and (for learning) lang are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import configure, held_out, table
 
 PLACES, SAMPLE_SYMBOLS, STRETCH = 48, 24_000, 1024
-LETTERS = 125
+#: Blank, the lower-case ASCII letters, the bytes of other letters from 0x80 to 0xF4.
+SYMBOLS = 1 + 26 + 117
 
 
 def letter_table() -> np.ndarray:
@@ -40,27 +40,34 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
 
 
-class Symbols:
-    """Code points to symbols: 0 blank, 1 .. LETTERS the letters most frequent in the sample, then one for any other."""
-
-    def __init__(self, texts: list[str]):
-        count = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        self.letters = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.size = len(self.letters) + 2
-
-    def table(self) -> np.ndarray:
-        out = np.where(letter_table(), self.size - 1, 0).astype(np.uint8)
-        for k, c in enumerate(self.letters):
-            out[ord(c)] = k + 1
-        return out
+def byte_table() -> np.ndarray:
+    """Byte of a letter -> symbol."""
+    out = np.zeros(256, np.uint8)
+    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
+    out[0x80:0xF5] = np.arange(27, SYMBOLS)
+    return out
 
 
-def as_symbols(text: str, table: np.ndarray) -> np.ndarray:
-    s = table[code_points(text.lower())]
+def as_symbols(text: str, letters: np.ndarray) -> np.ndarray:
+    """letters: letter_table()."""
+    low = text.lower()
+    c = code_points(low)
+    width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+    s = np.where(np.repeat(letters[c], width), byte_table()[np.frombuffer(low.encode("utf-8", "replace"), np.uint8)], 0).astype(np.uint8)
     keep = np.append(True, (s[1:] != 0) | (s[:-1] != 0)) if len(s) else np.zeros(0, bool)
     return s[keep]
 
 
+def equal_share(sizes: list[int], total: int) -> int:
+    """The most that can be taken of each, or all of it where it has less, without passing the total."""
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= n
+    return total
+
+
 def automaton(s: list[int], size: int) -> np.ndarray:
     """Transitions of the suffix automaton of s: states x symbols, 0 where there is none (the start is 0)."""
     link, length, steps, last = [-1], [0], [{}], 0
@@ -106,19 +113,18 @@ def cutting_table(steps: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """langs, the symbol table's letters, and the cutting tables of all languages in one array."""
+    """langs, and the cutting tables of all languages in one array."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(k for k, v in samples.items() if v)
-        self.symbols = Symbols([t for k in self.langs for t in samples[k]])
-        table, parts, self.base, self.cost, at = self.symbols.table(), [], [], [], 0
+        table, parts, self.base, self.cost, at = letter_table(), [], [], [], 0
         for lang in self.langs:
-            s: list[int] = []
-            for t in samples[lang]:
-                if len(s) < SAMPLE_SYMBOLS:
-                    s += as_symbols(t, table).tolist() + [0]
-            s = s[:SAMPLE_SYMBOLS]
-            part = cutting_table(automaton(s, self.symbols.size))
+            texts = [np.append(as_symbols(t, table), 0) for t in samples[lang]]
+            share = equal_share([len(t) for t in texts], SAMPLE_SYMBOLS)
+            for t in texts:
+                t[min(share, len(t)) - 1] = 0  # a text that is cut ends with a blank too
+            s = np.concatenate([t[:share] for t in texts]).tolist()
+            part = cutting_table(automaton(s, SYMBOLS))
             parts.append(part)
             self.base.append(at)
             self.cost.append(float(np.log2(max(2, len(s)))))
@@ -175,7 +181,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        table = model.symbols.table()
+        table = letter_table()
         for b in batches:
             syms = [as_symbols(t or "", table) for t in b.column(1).to_pylist()]
             n = phrases(model, syms)

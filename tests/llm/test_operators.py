@@ -282,6 +282,28 @@ def test_language(spark, odd):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.98
 
 
+def test_language_of_large_alphabets():
+    r = random.Random(2)
+    scripts = {"ko": range(0xAC00, 0xAC00 + 900), "zh": range(0x4E00, 0x4E00 + 900)}
+    words = {k: ["".join(chr(r.choice(c)) for _ in range(2)) for _ in range(900)] for k, c in scripts.items()}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    model = language.Model({k: [text(k, 2000), text(k, 50)] for k in words})
+    letters = language.letter_table()
+    for k in words:
+        n = language.phrases(model, [language.as_symbols(text(k, 40), letters) for _ in range(20)])
+        own = model.langs.index(k)
+        assert (2 * n[:, own] < n[:, 1 - own]).all()
+    a = [language.as_symbols(x, letters).tolist() for x in ("Ab, \u4e00\U0001f600\ud800z", "ab \u4e01 z")]
+    assert [len(x) for x in a] == [8, 8] and a[0] != a[1] and a[0][:3] == a[1][:3]
+
+
+def test_language_takes_equal_shares():
+    long, short = "abc " * 20_000, "xyz " * 50
+    model = language.Model({"a": [long, short]})
+    assert language.phrases(model, [language.as_symbols("xyz xyz xyz", language.letter_table())])[0, 0] == 1
+    assert language.equal_share([5, 1, 9, 9], 20) == 7 and language.equal_share([2, 3], 20) == 20
+
+
 def test_cutting_as_longest_match():
     sample, text = [1, 2, 3, 1, 2, 4, 2, 2], [1, 2, 4, 4, 2, 3, 1, 5, 5, 2, 2]
     table = language.cutting_table(language.automaton(sample, 6))
