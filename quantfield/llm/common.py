@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset and all runs in one process (tests), a temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="quantfield-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

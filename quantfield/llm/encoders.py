@@ -25,8 +25,8 @@ _RUNS = re.compile(r"\s\s\s|  ")
 _RUN_PARTS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
-#: Pieces and their characters that a worker remembers; beyond either it begins anew.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 1 << 25
+#: Pieces and their characters that a worker remembers; beyond either it keeps the short ones asked for again since the last time.
+CACHE_PIECES, CACHE_CHARS, LONG_PIECE = 250_000, 1 << 23, 64
 #: Characters looked up together, and words whose ids are gathered together.
 PART_CHARS, PART_WORDS = 1 << 22, 1 << 19
 #: Pieces encoded as one text; the mark between words; how byte-level vocabularies write a space.
@@ -39,7 +39,7 @@ class Pool:
     def __init__(self, dtype: str):
         self.row: dict[str, int] = {}
         self.ids, self.n_ids, self.chars = np.zeros(1 << 16, dtype), 0, 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length, self.asked = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def append(self, ids: np.ndarray) -> int:
         at, self.n_ids = self.n_ids, self.n_ids + len(ids)
@@ -53,8 +53,21 @@ class Pool:
         self.row.update(zip(keys, range(n, n + len(keys))))
         self.chars += sum(map(len, keys))
         if len(self.row) > len(self.start):
-            self.start, self.length = (np.resize(x, 2 * len(self.row)) for x in (self.start, self.length))
-        self.start[n : n + len(keys)], self.length[n : n + len(keys)] = start, length
+            self.start, self.length, self.asked = (np.resize(x, 2 * len(self.row)) for x in (self.start, self.length, self.asked))
+        at = slice(n, n + len(keys))
+        self.start[at], self.length[at], self.asked[at] = start, length, 0
+
+    def again(self) -> Pool:
+        """A pool of the pieces asked for in several parts, half of what a pool holds at most."""
+        keys = list(self.row)
+        rows = np.flatnonzero(self.asked[: len(keys)] > 1)
+        rows = rows[np.argsort(-self.asked[rows], kind="stable")[: CACHE_PIECES // 2]]
+        rows = np.array([k for k in rows.tolist() if len(keys[k]) <= LONG_PIECE], np.int64)
+        ids, end = self.gather(rows)
+        out = Pool(self.ids.dtype)
+        out.append(ids)
+        out.add([keys[k] for k in rows.tolist()], end - self.length[rows], self.length[rows])
+        return out
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows, and where each row's end."""
@@ -148,14 +161,15 @@ class PieceEncoder:
         one = pa.LargeListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary)
         keys = pc.binary_join(one, pa.scalar("\x1f", pa.large_string()))[0].as_py().split("\x1f") if len(flat) else []
         if len(self.pool.row) > CACHE_PIECES or self.pool.chars > CACHE_CHARS:
-            self.pool = Pool(self.dtype)
+            self.pool = self.pool.again()
         row = self.pool.row
         found = list(map(row.get, keys))
         if None in found:
             self._learn([k for k, r in zip(keys, found) if r is None])
             found = list(map(row.__getitem__, keys))
-        rows = np.array(found, np.int64)[flat.indices.to_numpy()]
-        ids, end = self.pool.gather(rows)
+        found = np.array(found, np.int64)
+        self.pool.asked[found] += 1
+        ids, end = self.pool.gather(found[flat.indices.to_numpy()])
         end = np.append(0, end)[np.append(0, np.cumsum(sizes))].tolist()
         for k, a, z in zip([*simple, *runs], end, end[1:]):
             out[k] = ids[a:z].tobytes()

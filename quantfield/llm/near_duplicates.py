@@ -42,6 +42,8 @@ SMALL = 75
 #: 0.026 in simulations with sets of 66 to 5000 shingles (borrowed registers make it more than sqrt(0.85 * 0.15 / 256)).
 MARGIN = 0.11
 BLOCK = 1024
+#: Words whose hashes a worker remembers; beyond it begins anew.
+WORDS_KEPT = 200_000
 _BITS = BUCKETS.bit_length() - 1
 _RNG = np.random.default_rng(20240229)
 _WORD_KEYS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -66,7 +68,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     if not w:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, w), np.uint64, len(w))
-    if len(_words) > 500_000:
+    if len(_words) > WORDS_KEPT:
         _words.clear()
     n, k = max(1, len(w) - SHINGLE + 1), min(len(w), SHINGLE)
     out = np.full(n, np.uint64(k))

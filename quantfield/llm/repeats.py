@@ -293,8 +293,9 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumn("d1", F.xxhash64("doc_id", "text")).withColumn("d2", F.hash("doc_id", "text"))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text, rest (the other columns, as a struct), spans (removed bytes, merged), kept (the bytes that remain)."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -> DataFrame:
+    """doc_id, text, rest (the other columns, as a struct), spans (removed bytes, merged), kept (the bytes that remain).
+    as_text: doc_id, text (what remains; a character that lost a byte is gone), rest."""
     configure(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
@@ -310,30 +311,23 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for a, z in m:
                     parts.append(raw[at:a])
                     at = z
-                kept.append(b"".join([*parts, raw[at:]]))
+                left = b"".join([*parts, raw[at:]])
+                kept.append(left if not as_text else None if text is None else left.decode(errors="ignore"))
                 merged.append([{"first": a, "last": z} for a, z in m])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text"), b.column("rest"), pa.array(merged, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(kept, pa.binary())],
-                names=["doc_id", "text", "rest", "spans", "kept"],
-            )
+            if as_text:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
+            else:
+                spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("rest"), pa.array(merged, spans_type), pa.array(kept, pa.binary())], names=["doc_id", "text", "rest", "spans", "kept"])
 
     joined = keyed.join(spans, ["d1", "d2"], "left").select("doc_id", "text", "rest", "spans")
-    schema = StructType([*joined.select("doc_id", "text", "rest").schema, *StructType.fromDDL("spans array<struct<first:int,last:int>>, kept binary")])
-    return joined.mapInArrow(run, schema)
+    schema = joined.select("doc_id", "text", "rest").schema
+    return joined.mapInArrow(run, schema if as_text else StructType([*schema, *StructType.fromDDL("spans array<struct<first:int,last:int>>, kept binary")]))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with the repeated bytes gone from text, and n_chars (if there) counted anew. A character that
-    lost a byte is gone; a text that lost all is empty."""
-    got = remove_repeats(docs, width)
-
-    def decode(batches):
-        for b in batches:
-            text = [None if t is None else k.decode(errors="ignore") for t, k in zip(b.column("text").to_pylist(), b.column("kept").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
-
-    slim = got.select("doc_id", "text", "rest", "kept")
-    out = slim.mapInArrow(decode, slim.select("doc_id", "text", "rest").schema)
+    """docs with the repeated bytes gone from text, and n_chars (if there) counted anew. A text that lost all is empty."""
+    out = remove_repeats(docs, width, as_text=True)
     cols = {c: F.col("rest")[c].cast(t) for c, t in docs.dtypes if c not in ("doc_id", "text")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
