@@ -11,7 +11,7 @@ from .repeats import op6_repeats
 from .token_output import op2_token_output
 from .top_k import OP9_SQL, op9_top_k
 from .toxicity import op1_toxicity
-from .urls import op10_url_filters
+from .urls import OP10_SQL, op10_url_filters
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op8_quality": OP8_SQL, "op9_top_k": OP9_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_quality": OP8_SQL, "op9_top_k": OP9_SQL, "op10_url_filters": OP10_SQL}
