@@ -60,40 +60,43 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """Each bucket's logit (its embedding times the softmax's difference of classes), and the bias.
 
-    Embeddings begin along the softmax's direction, at the log odds ratio of texts with the n-gram, less
-    SURE standard errors; n-grams that are left with none stay at zero, for most are in a few texts by chance."""
+    Embeddings begin along the softmax's direction, at the log odds ratio of texts with the n-gram, less SURE standard
+    errors: so all n-grams of a word that tells share its weight. N-grams that are left with none stay at zero, for most are
+    in a few texts by chance (trained freely, or let in by their gradient, they cost accuracy: see README). Embeddings and softmax are then trained together; a bucket whose
+    logit passes zero stops there."""
     bags = [bag(t) for t in texts]
     y = np.array(labels, np.float64)
     if not 0 < y.sum() < len(y):
         return np.zeros(BUCKETS), -np.inf
-    col, val = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    col, val = np.concatenate([b[0] for b in bags]), GAIN * np.concatenate([b[1] for b in bags]).astype(np.float64)
     row = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
     with_1, with_0 = (np.bincount(col, x[row], BUCKETS) + 0.5 for x in (y, 1 - y))
     cells = with_1, y.sum() - with_1 + 1, with_0, (1 - y).sum() - with_0 + 1
     odds = np.log(cells[0] * cells[3] / (cells[1] * cells[2]))
     odds = np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * np.sqrt(sum(1 / c for c in cells)))
-    used = np.flatnonzero(odds)
-    place = np.zeros(BUCKETS, np.int64)
-    place[used] = np.arange(len(used))
     held = odds[col] != 0
-    col, val, row = place[col[held]], val[held], row[held]
+    used, col = np.unique(col[held], return_inverse=True)
+    val, row = val[held], row[held]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    rng = np.random.default_rng(7)
-    soft, bias = rng.normal(0, 1, (WIDTH, 2)), np.array([1.0, -1.0])
+    soft, bias = np.random.default_rng(7).normal(0, 1, (WIDTH, 2)), np.array([1.0, -1.0])
     across = soft[:, 1] - soft[:, 0]
-    embed = odds[used][:, None] * across / (across @ across) + rng.normal(0, 0.01, (len(used), WIDTH))
+    embed = odds[used][:, None] * across / (across @ across)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embed, soft, bias)]
     for step in range(1, STEPS + 1):
-        mean = np.stack([np.bincount(row, val * embed[col, k], len(bags)) for k in range(WIDTH)], 1)
-        logit = GAIN * mean @ soft + bias
-        p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -50, 50)))
-        r = weight * (p - y)
-        both, across = np.stack([-r, r], 1), soft[:, 1] - soft[:, 0]
-        grads = np.bincount(col, val * r[row], len(used))[:, None] * (GAIN * across) + DECAY * embed, GAIN * mean.T @ both + DECAY * soft, both.sum(0)
-        for x, g, m in zip((embed, soft, bias), grads, moments):
-            m[0] = 0.9 * m[0] + 0.1 * g
-            m[1] = 0.99 * m[1] + 0.01 * g * g
+        across = soft[:, 1] - soft[:, 0]
+        logit = embed @ across
+        z = np.bincount(row, val * logit[col], len(bags)) + bias[1] - bias[0]
+        r = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
+        g = np.bincount(col, val * r[row], len(used))
+        of_mean = embed.T @ g
+        g[logit == 0] = 0
+        grads = g[:, None] * across + DECAY * embed, np.stack([-of_mean, of_mean], 1) + DECAY * soft, np.array([-r.sum(), r.sum()])
+        for x, d, m in zip((embed, soft, bias), grads, moments):
+            m[0] = 0.9 * m[0] + 0.1 * d
+            m[1] = 0.99 * m[1] + 0.01 * d * d
             x -= RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+        turned = (embed @ (soft[:, 1] - soft[:, 0])) * logit < 0  # past zero: it stops there
+        embed[turned] = moments[0][0][turned] = 0
     out = np.zeros(BUCKETS)
     out[used] = GAIN * embed @ (soft[:, 1] - soft[:, 0])
     return out, float(bias[1] - bias[0])
@@ -115,13 +118,14 @@ class WordLogits(dict):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE_ROWS labelled texts."""
+    """At most SAMPLE_ROWS labelled texts: of rows with one doc_id the smallest text."""
     y = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_ROWS // 2))
     chosen = y.groupBy("toxic", place.alias("place")).agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("doc_id")).where("toxic in (0, 1)")
     # At most SAMPLE_ROWS ids, so a broadcast; documents are not shuffled.
     got = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").where("text is not null")
-    return [(r.text, r.toxic) for r in sorted(got.select("doc_id", "text", "toxic").collect())]
+    one = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return [(r.text, r.toxic) for r in sorted(one.collect())]
 
 
 def score(docs: DataFrame, logits: np.ndarray, bias: float) -> DataFrame:

@@ -58,7 +58,7 @@ def test_same_rows_as_sql(spark, name):
     cols = sorted(want.columns)
     got = QUERIES[name](spark, SMALL).toPandas()[cols].sort_values(cols).reset_index(drop=True)
     want = want[cols].sort_values(cols).reset_index(drop=True)
-    assert len(got) == len(want) and (got == want).all().all()
+    assert len(got) == len(want) and ((got == want) | (got.isna() & want.isna())).all().all()
 
 
 def test_pieces_as_whole_texts(docs):
@@ -272,6 +272,42 @@ def test_toxicity_of_long_words():
     assert np.isclose(toxicity.bag(f"{fill}x {fill}y")[1].sum(), 1)
 
 
+def test_toxicity_trains_jointly():
+    r = random.Random(9)
+    filler = ["".join(r.choice("aeioutnrs") for _ in range(r.randint(2, 8))) for _ in range(800)]
+    vile = ["wretchling", "grobnard", "skulmurk", "vexhound"]
+    rows = []
+    for k in range(600):
+        w = [r.choice(filler) for _ in range(60)]
+        if k % 2:
+            w[r.randrange(60)] = vile[k // 2 % 4]
+        rows.append((" ".join(w), k % 2))
+    logits, bias = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    known = toxicity.WordLogits(logits)
+    score = lambda t: bias + sum(known[w] for w in toxicity.words(t)) / len(toxicity.words(t))
+    plain = [" ".join(r.choice(filler) for _ in range(60)) for _ in range(200)]
+    assert sum(score(t) > 0 for t in plain) < 10
+    for w in ("wretchlingz", "gr0bnard", "skulmurkk", "vexxhound"):  # never seen: they share n-grams with words seen
+        assert sum(score(f"{t} {w}") > 0 for t in plain) > 150
+    texts = [t for t, _ in rows[:5]] + [plain[0]]
+    whole = []  # the mean over words of the mean over n-grams, written out
+    for t in texts:
+        per_word = []
+        for w in t.lower().split():
+            x = f"<{w}>"
+            g = [x] + [x[i : i + n] for n in (3, 4, 5) for i in range(len(x) - n + 1)]
+            per_word.append(np.mean([logits[zlib.crc32(p.encode()) % toxicity.BUCKETS] for p in g]))
+        whole.append(bias + np.mean(per_word))
+    assert np.allclose([score(t) for t in texts], whole)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a a"), (1, "a a"), (3, "x" * 200_000), (4, None)], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, y)
+    assert len(rows) == len({t for t, _ in rows}) and ("a b", 1) not in rows
+
+
 def test_language(spark, odd):
     got = {r.doc_id: r for r in language.identify(odd).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[3].score == 0
