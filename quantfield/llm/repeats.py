@@ -7,13 +7,13 @@ hash and the hash of its bytes (its context). Then
   - runs whose anchor occurs once are done: no window of theirs occurs twice;
   - runs whose context occurs twice or more are repeated whole;
   - all other runs send one copy of their context's bytes to the task of their anchor. There every batch of
-    contexts gets a suffix array (window starts ordered by the fingerprint of the `width` bytes that follow:
-    any order that puts equal strings together serves), is merge-scanned against the levels that exist, and
-    enters the family as a new level; levels of equal size are merged, so sizes grow geometrically;
+    contexts gets a suffix array (window starts in order of the bytes that follow), is merge-scanned against the levels
+    that exist for matches of `width` bytes or more, byte by byte, and enters the family as a new level; levels of
+    like size are merged, so sizes grow geometrically;
   - anchors with more than HOT_CONTEXTS different contexts (the edge of a passage that very many documents
     share) would make one task long: their windows are counted one by one, by fingerprint, with
     partial sums in each task.
-Fingerprints of windows have 128 bits.
+Hashes of contexts have 64 bits beside their anchor's 64, fingerprints of windows 128.
 
 Defined results: a null text is an empty one; texts under `width` bytes lose nothing. Rows that agree in
 doc_id and text repeat each other like any others. An empty table gives no rows. `remove_repeats` keeps
@@ -34,7 +34,9 @@ from .common import configure, materialize, partitions, table
 
 WIDTH, GRAM = 200, 32
 #: Contexts of one anchor that one task compares; anchors with more are counted window by window.
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 4_096
+#: Bytes of contexts that get a suffix array together, and that one task compares.
+BATCH_BYTES, TASK_BYTES = 1 << 21, 1 << 25
 #: Bytes scanned at a time; places in a slice fit the low bits of a hash.
 SLICE, PLACE_BITS = 1 << 18, 20
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -167,47 +169,89 @@ def context_rows(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("text", "runs", "d1", "d2").mapInArrow(run, "key long, key2 long, whole boolean, d1 long, d2 int, first int, last int, bytes binary")
 
 
-class Level:
-    """A suffix array: fingerprints in order, and for each entry its place in the family's flags."""
+def words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers that sort like them."""
+    return np.ndarray(len(raw) - 7, ">u8", raw, strides=(1,))[at].astype(np.uint64)
+
+
+def suffix_order(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start at `at` in order of their first `width` bytes (places in `at`), and whether each shares all
+    of them with the one before. Ranks of 8 bytes, then 16, 32, ... by pairs; the last pair overlaps."""
+    size, rank = 8, np.unique(words(raw, np.arange(len(raw) - 7)), return_inverse=True)[1]
+    while size * 2 <= width:
+        rank = np.unique(rank[:-size] * len(raw) + rank[size:], return_inverse=True)[1]
+        size *= 2
+    key = rank[at] * len(raw) + rank[at + width - size]
+    order = np.argsort(key, kind="stable")
+    return order, np.append(False, key[order[1:]] == key[order[:-1]])
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, entry: np.ndarray):
-        order = np.argsort(high, kind="stable")  # merges arrays that are in order already in one pass
-        self.high, self.low, self.entry = high[order], low[order], entry[order]
 
-    def same(self) -> np.ndarray:
-        """Whether an entry equals the one before it."""
-        return np.append(False, (self.high[1:] == self.high[:-1]) & (self.low[1:] == self.low[:-1]))
+class Level:
+    """A suffix array of bytes: places of suffixes in order, one of those that share `width` bytes; the first eight
+    bytes of each; and each one's place in the family's flags."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, entry: np.ndarray, width: int):
+        self.raw, self.at, self.entry, self.width = raw, at, entry, width
+        self.first = words(raw, at)
+
+    def bisect(self, low: np.ndarray, high: np.ndarray, asked: np.ndarray, offset: int, past: bool) -> np.ndarray:
+        """Where in its range of suffixes each word stands, by the word at offset: before equal ones, or past them."""
+        low, high = low.copy(), high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) >> 1
+            w, q = words(self.raw, self.at[mid] + offset), asked[open_]
+            up = w <= q if past else w < q
+            low[open_] = np.where(up, mid + 1, low[open_])
+            high[open_] = np.where(up, high[open_], mid)
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def scan(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Where each suffix of other stands among these, and whether the one there shares `width` bytes with it. The
+        ranges that share a prefix shrink by eight bytes a step; suffixes leave when theirs is empty."""
+        low, high = np.searchsorted(self.first, other.first, "left"), np.searchsorted(self.first, other.first, "right")
+        live = np.flatnonzero(low < high)
+        for offset in [*range(8, self.width - 8, 8), self.width - 8]:
+            q = words(other.raw, other.at[live] + offset)
+            low[live] = self.bisect(low[live], high[live], q, offset, False)
+            high[live] = self.bisect(low[live], high[live], q, offset, True)
+            live = live[low[live] < high[live]]
+        same = np.zeros(len(low), bool)
+        same[live] = True
+        return low, same
 
     def merged(self, other: Level) -> Level:
-        """One level of both, with one entry of equal ones: they are known to be repeated."""
-        out = Level(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("high", "low", "entry")))
-        keep = ~out.same()
-        out.high, out.low, out.entry = out.high[keep], out.low[keep], out.entry[keep]
-        return out
+        """One level of both, with one suffix of equal ones: they are known to be repeated."""
+        low, same = self.scan(other)
+        low = low[~same]
+        at = np.insert(self.at, low, other.at[~same] + len(self.raw))
+        return Level(np.concatenate([self.raw, other.raw]), at, np.insert(self.entry, low, other.entry[~same]), self.width)
 
 
 class IndexFamily:
-    """Levels of geometrically growing size; hit says of each entry added whether it is repeated."""
+    """Levels of geometrically growing size; hit says of each suffix added whether its first `width` bytes are repeated."""
 
-    def __init__(self):
+    def __init__(self, width: int):
         self.levels: list[Level] = []
-        self.hit = np.zeros(0, bool)
+        self.hit, self.width = np.zeros(0, bool), width
 
-    def add(self, high: np.ndarray, low: np.ndarray) -> None:
+    def add(self, raw: np.ndarray, at: np.ndarray) -> None:
+        """raw: the bytes of a batch; at: the suffixes that count, each with `width` bytes at least."""
+        if not len(at):
+            return
         start = len(self.hit)
-        self.hit = np.concatenate([self.hit, np.zeros(len(high), bool)])
-        new = Level(high, low, np.arange(start, start + len(high)))
-        same = new.same()
-        self.hit[new.entry[same | np.append(same[1:], False)]] = True
+        self.hit = np.concatenate([self.hit, np.zeros(len(at), bool)])
+        order, same = suffix_order(raw, at, self.width)
+        self.hit[start + order[same | np.append(same[1:], False)]] = True
+        order = order[~same]
+        new = Level(raw, at[order], start + order, self.width)
         for level in self.levels:
-            # Both are in order: the scan finds where each new entry would stand in the level.
-            at = np.minimum(np.searchsorted(level.high, new.high), len(level.high) - 1)
-            equal = (level.high[at] == new.high) & (level.low[at] == new.low)
+            place, equal = level.scan(new)
             self.hit[new.entry[equal]] = True
-            self.hit[level.entry[at[equal]]] = True
-        if len(high):
-            self.levels.append(new)
-        while len(self.levels) > 1 and len(self.levels[-2].high) <= 2 * len(self.levels[-1].high):
+            self.hit[level.entry[place[equal]]] = True
+        self.levels.append(new)
+        while len(self.levels) > 1 and len(self.levels[-2].at) <= 2 * len(self.levels[-1].at):
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merged(last)
 
@@ -216,19 +260,27 @@ def compare_contexts(contexts: DataFrame, width: int) -> DataFrame:
     """d1, d2, first, last (bytes, end excluded): the repeated stretches of the contexts of each task."""
 
     def run(batches):
-        family, owners, starts = IndexFamily(), [], []
+        family, owners, starts, held, size = IndexFamily(width), [], [], [], 0
+
+        def add():
+            raw = np.frombuffer(b"".join(held), np.uint8)
+            sizes = np.array([len(p) for p in held])
+            begin, n = np.cumsum(sizes) - sizes, sizes - width + 1
+            family.add(raw, np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            starts.append(n)
+
         for b in batches:
             parts = b.column(6).to_pylist()
             if not parts:
                 continue
-            sizes = np.array([len(p) for p in parts])
-            raw = np.frombuffer(b"".join(parts), np.uint8)
-            begin = np.cumsum(sizes) - sizes
-            n = sizes - width + 1
-            at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            family.add(*(window_hashes(raw, width, s)[at] for s in _SEEDS))
             owners.append([b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)])
-            starts.append(n)
+            held += parts
+            size += sum(map(len, parts))
+            if size >= BATCH_BYTES:
+                add()
+                held, size = [], 0
+        if held:
+            add()
         if not owners:
             return
         whole, d1, d2, first = (np.concatenate(x) for x in zip(*owners))
@@ -273,9 +325,12 @@ def repeated_stretches(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     windows = rows.where("bytes is null")
     twice = windows.groupBy("key", "key2").agg(F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("w")).where("w > 1").select("key", "key2")
     marks = marks.unionByName(windows.where("not whole").join(twice, ["key", "key2"]).select("d1", "d2", "first", (F.col("last") + width).alias("last")))
-    cold = rows.where("bytes is not null").repartition(partitions(spark), "key")
+    cold = rows.where("bytes is not null")
+    # A task holds the bytes of its contexts: about TASK_BYTES, whatever the corpus.
+    total = cold.agg(F.sum(F.length("bytes").cast("long"))).first()[0] or 0
+    cold = cold.repartition(max(partitions(spark), -(-total // TASK_BYTES)), "key")
     marks = marks.unionByName(compare_contexts(cold, width))
-    return marks.groupBy("d1", "d2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return marks.groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -170,16 +170,26 @@ def test_repeats_hot_anchors(spark, monkeypatch):
     assert got == sorted(b[:3] for b in repeats.brute_force(texts))
 
 
-def test_index_family():
+@pytest.mark.parametrize("width", [8, 20, 200])
+def test_index_family(width):
     r = np.random.default_rng(0)
-    f, every = repeats.IndexFamily(), []
+    pool = [r.integers(0, 3, 400).astype(np.uint8) for _ in range(6)]
+    f, every = repeats.IndexFamily(width), []
     for _ in range(40):
-        x = r.integers(0, 3000, r.integers(0, 60)).astype(np.uint64)
-        every.append(x)
-        f.add(x * np.uint64(7), x)
-    x = np.concatenate(every)
-    u, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
-    assert np.array_equal(f.hit, n[inverse] > 1) and len(f.levels) < 12
+        texts = [pool[r.integers(6)][a : a + width + r.integers(0, 60)] for a in r.integers(0, 400 - width, r.integers(0, 6))]
+        texts += [r.integers(0, 256, width + 3).astype(np.uint8)]
+        texts = [t for t in texts if len(t) >= width]
+        raw, at, begin = np.concatenate(texts), [], 0
+        for t in texts:
+            at += range(begin, begin + len(t) - width + 1)
+            begin += len(t)
+        every += [raw[i : i + width].tobytes() for i in at]
+        f.add(raw, np.array(at))
+    n = {x: every.count(x) for x in set(every)}
+    assert f.hit.tolist() == [n[x] > 1 for x in every] and len(f.levels) < 12
+    for level in f.levels:
+        inside = [level.raw[i : i + width].tobytes() for i in level.at]
+        assert inside == sorted(set(inside))
 
 
 def test_near_duplicates_as_brute_force(spark, odd, docs):
