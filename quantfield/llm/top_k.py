@@ -1,16 +1,17 @@
 """Exact top-k inner products by norm buckets.
 
 Vectors become integer vectors floor(64 * x). Candidates are grouped into buckets of similar length, and buckets
-cut into blocks; queries are cut into blocks too, and every block of queries meets every block of
-candidates once: a stated query set against all rows. The k-th best score against the SEED longest candidates is a
-lower limit for each query. In a block, a query whose length times the block's longest vector stays under its limit
-is passed over (length pruning). The limit divided by both lengths is the cosine a candidate needs: where it is
+cut into blocks; a stated query set is held against all rows. The k-th best score against the SEED longest candidates is a
+lower limit for each query, and the limit divided by the query's length the length that a candidate needs. Queries of
+similar need are blocks too, and a block of queries meets once each block of candidates whose longest vector is long
+enough. In a block, candidates are in order of length, and a query's end where they are too short (length pruning).
+The limit divided by both lengths is the cosine a candidate needs: where it is
 high (STEEP or more), only candidates whose value at the query's largest coordinate allows that cosine are kept
-(coordinate pruning); all others are multiplied out. All products that count are integers, computed exactly.
+(coordinate pruning) in place of it. All products that count are integers, computed exactly.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 without vec_id. Rows with one vec_id count once, the smallest vector of them. Vectors of different dimension
-never meet. Ties go to the smaller vec_id. Components so large that products could pass 2 ** 62 raise an
+never meet. Ties go to the smaller vec_id. Inner products that 64 bits can't hold raise an
 error. Empty tables give no rows. Columns besides vec_id and embedding are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, table
 
 SCALE, K, QUERY_EVERY = 64, 20, 20
-SEED, CANDIDATES, QUERIES = 1024, 4096, 512
+SEED, CANDIDATES, QUERIES = 1024, 4096, 8192
 STEEP = 0.8
 
 
@@ -46,7 +47,8 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (a @ b.T).astype(np.int64)
     if most >= 2**62:
-        raise OverflowError("inner products pass 64 bits")
+        # Whole numbers without limit; those that 64 bits can't hold raise an OverflowError.
+        return (np.array([[int(x) for x in r] for r in a], object).reshape(a.shape) @ np.array([[int(x) for x in r] for r in b], object).reshape(b.shape).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
@@ -63,6 +65,8 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search_block(q_ids, q, q_norm, limit, c_ids, c, c_norm, k=K):
     """(query, candidate, score) that can be among a query's k best. limit: what a score must reach, for each query."""
     out = []
+    down = np.argsort(-c_norm, kind="stable")
+    c_ids, c, c_norm = c_ids[down], c[down], c_norm[down]
     longest = c_norm.max(initial=0.0)
     # Rounding of norms must not lose a candidate: bounds are widened by a little.
     alive = np.flatnonzero(q_norm * longest * (1 + 1e-9) + 1e-6 >= limit)
@@ -77,10 +81,14 @@ def search_block(q_ids, q, q_norm, limit, c_ids, c, c_norm, k=K):
         # A cosine of t or more leaves the unit vector this range at coordinate f, up to 1 or down to -1 where u is that steep itself.
         keep = np.flatnonzero(((unit[:, f] >= u * t - slack) | (u <= -t)) & ((unit[:, f] <= u * t + slack) | (u >= t)))
         out.append((i, keep, exact_products(q[i : i + 1], c[keep])[0]))
+    # The length a candidate needs; those of a lesser one are the end of the block.
+    length = np.where(q_norm > 0, (limit - 1e-6) / np.maximum(q_norm, 1e-300), -1.0) * (1 - 1e-9)
+    flat = flat[np.argsort(length[flat], kind="stable")]
     for j in range(0, len(flat), 64):
         some = flat[j : j + 64]
-        for i, s in zip(some.tolist(), exact_products(q[some], c)):
-            out.append((i, np.arange(len(c_ids)), s))
+        n = int(np.searchsorted(-c_norm, -length[some[0]], "right"))
+        for i, s in zip(some.tolist(), exact_products(q[some], c[:n])):
+            out.append((i, np.arange(n), s))
     found = []
     for i, at, s in out:
         ok = (s >= limit[i]) & (c_ids[at] != q_ids[i])
@@ -92,9 +100,9 @@ def search_block(q_ids, q, q_norm, limit, c_ids, c, c_norm, k=K):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """block, dim, items (vec_id, v, norm): vectors of one dimension and of similar length, about `rows` in each; and the number of blocks."""
-    bucket = F.when(F.col("norm") > 0, F.floor(4 * F.log2("norm"))).otherwise(F.lit(-(2**30))).cast("long")
+def blocks(vectors: DataFrame, by: str, rows: int, name: str) -> DataFrame:
+    """vectors with a column `name`: about `rows` of one dimension and of similar `by` have one number."""
+    bucket = F.when(F.col(by) > 0, F.floor(4 * F.log2(by))).otherwise(F.lit(-(2**30))).cast("long")
     v = vectors.withColumn("bucket", bucket)
     # One row for each dimension and power of 2 ** (1 / 4): a few thousand at most for each dimension.
     sizes = v.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("dim", F.desc("bucket")).collect()
@@ -104,8 +112,7 @@ def blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
         plan.append((r.dim, r.bucket, base, of))
         base += of
     plan_df = vectors.sparkSession.createDataFrame(plan, "dim int, bucket long, base long, of long")
-    placed = v.join(F.broadcast(plan_df), ["dim", "bucket"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64("vec_id"), "of"))
-    return placed.groupBy("block", "dim").agg(F.collect_list(F.struct("vec_id", "v", "norm")).alias("items")), base
+    return v.join(F.broadcast(plan_df), ["dim", "bucket"]).withColumn(name, F.col("base") + F.pmod(F.xxhash64("vec_id"), "of")).drop("bucket", "base", "of")
 
 
 def unpacked(items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,14 +145,16 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=["vec_id", "v", "dim", "norm", "limit"])
 
     limited = queries.select("vec_id", "v", "dim", "norm").mapInArrow(limits, "vec_id long, v array<double>, dim int, norm double, limit double")
-    n_queries = queries.count()
-    of = max(1, -(-n_queries // QUERIES))
-    q_blocks = limited.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(of)).alias("qblock")).agg(F.collect_list(F.struct("vec_id", "v", "norm", "limit")).alias("asked"))
-    c_blocks, _ = blocks(vectors, CANDIDATES)
-    # Blocks of queries, copied to the blocks of candidates of their dimension.
-    known = c_blocks.select("block", "dim")
-    sent = q_blocks.join(known, "dim")
-    met = sent.join(c_blocks.select("block", "items"), "block").select("asked", "items").repartition(partitions(spark))
+    need = F.when(F.col("norm") > 0, F.greatest(F.lit(0.0), (F.col("limit") - 1e-6) / F.col("norm"))).otherwise(F.lit(0.0))
+    asked = blocks(materialize(limited.withColumn("need", need), "limited"), "need", QUERIES, "qblock")
+    offered = blocks(vectors, "norm", CANDIDATES, "block")
+    # Blocks of queries meet the blocks whose longest vector can reach what one of them needs; the others are passed over whole.
+    shortest = asked.groupBy("qblock", "dim").agg(F.min("need").alias("need"))
+    longest = offered.groupBy("block", "dim").agg(F.max("norm").alias("longest"))
+    pairs = shortest.join(longest, "dim").where(F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("need")).select("qblock", "block")
+    q_blocks = asked.groupBy("qblock").agg(F.collect_list(F.struct("vec_id", "v", "norm", "limit")).alias("asked"))
+    c_blocks = offered.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v", "norm")).alias("items"))
+    met = pairs.join(q_blocks, "qblock").join(c_blocks, "block").select("asked", "items").repartition(partitions(spark))
 
     def search(batches):
         for b in batches:

@@ -400,6 +400,29 @@ def test_top_k_steep_queries(monkeypatch, dim):
     assert len(met) == len(q) and all(a == 1 and b < 400 for a, b in met)  # every query was steep
 
 
+def test_search_in_blocks_of_many_lengths():
+    r, k = np.random.default_rng(5), 3
+    for trial in range(1000):
+        dim, n = int(r.integers(1, 9)), int(r.integers(1, 60))
+        c = np.floor(r.normal(size=(n, dim)) * 10 ** r.uniform(0, 2.5, (n, 1)))
+        if trial % 3 == 0:
+            c[np.arange(n), r.integers(0, dim, n)] = r.choice([-1, 1], n) * r.integers(200, 400, n)
+        q, norms = np.concatenate([c[:5], np.zeros((1, dim))]), lambda x: np.sqrt((x * x).sum(1))
+        q_ids, ids = np.append(np.arange(len(q) - 1), 1000), np.arange(n)
+        scores = (q @ c.T).astype(np.int64)
+        want = [sorted((-s, i) for s, i in zip(row.tolist(), ids.tolist()) if i != q_id)[:k] for row, q_id in zip(scores, q_ids)]
+        limit = np.array([-x[-1][0] if len(x) == k else -np.inf for x in want], np.float64)
+        got = sorted(zip(*(x.tolist() for x in top_k.search_block(q_ids, q, norms(q), limit, ids, c, norms(c), k))))
+        assert got == sorted((int(q_id), i, -s) for q_id, x in zip(q_ids, want) for s, i in x)
+
+
+def test_large_products():
+    a, b = np.full((1, 64), 3.2e8), np.array([[3.2e8, -3.2e8] * 32, [3.2e8] * 64])
+    assert top_k.exact_products(a, b).tolist() == [[0, 64 * 320_000_000**2]]
+    with pytest.raises(OverflowError):
+        top_k.exact_products(np.full((1, 2), 2.0**40), np.full((1, 2), 2.0**40))
+
+
 def test_urls(spark):
     rows = [(1, "https://EXAMPLE.com/en/7x?q"), (2, "http://a.example.com/en/1"), (3, "x://notcom/en/"), (4, None), (5, "no scheme"), (6, "http://b.example.net/de/8#x"), (7, "http://b.net/de/1"), (8, "http://h?x=/p"), (9, "http://h/p\n/q#f"), (9, "http://h/p")]
     got = {(r.page_id, r.path): r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))).collect()}
