@@ -21,7 +21,7 @@ def bound(mode: str, value_range: Column, n: Column, abs_bound=0.0, rel_bound=0.
         "REL": rel,
         # Uniform errors in 99 % of the cells give this mean square.
         "PSNR": value_range * F.pow(d(10), -(d(psnr) + d(10) * F.log10(d(1) - d(2.0 / 3.0 * 0.99))) / d(20)),
-        "L2NORM": F.sqrt(d(3) / n) * d(l2),
+        "L2NORM": F.sqrt(F.try_divide(d(3), n)) * d(l2),
         "ABS_AND_REL": F.least(d(abs_bound), rel),
         "ABS_OR_REL": F.greatest(d(abs_bound), rel),
     }[mode]
@@ -54,7 +54,7 @@ def level_of(x: Column, start: float, step: float) -> Column:
     return F.floor((x - d(start)) / d(step) + d(0.5)).cast("long")
 
 
-# --- interpolation stencils: a, b, c, e are values at -3, -1, +1, +3 steps ---------------------------------
+# --- interpolation stencils; their weights are fixed values: a, b, c, e are values at -3, -1, +1, +3 steps ---------------------------------
 
 
 def _sum(*terms: tuple[float, Column]) -> Column:
@@ -104,8 +104,7 @@ def four_point(name, a, b, c, e):
 
 
 def akima(a, b, c, e):
-    """Slopes at both inner points weighted by how the outer slopes bend; then a cubic's middle."""
-    s1, s2, s3 = b - a, c - b, e - c
-    w1, w2 = F.abs(s3 - s2), F.abs(s2 - s1)
-    slope = F.when(w1 + w2 > d(1e-9), (w1 * s1 + w2 * s3) / (w1 + w2)).otherwise((s1 + s3) / d(2))
-    return (b + c) / d(2) + (slope - s2) / d(8)
+    """The middle of the line, less an eighth of the harmonic mean of both inner points' second differences where
+    these bend the same way (Akima's weights: each bend by the size of the other)."""
+    u, v = a - d(2) * b + c, b - d(2) * c + e
+    return (b + c) / d(2) - F.when((u * v > d(0)) & (F.abs(u) + F.abs(v) > d(1e-9)), d(2) * u * v / (u + v)).otherwise(d(0)) / d(8)

@@ -122,15 +122,39 @@ def decode_containers(stored: DataFrame, bits: dict[int, str]) -> DataFrame:
     return got.select("key", "chunk", F.posexplode("codes").alias("p", "code")).select("key", (F.col("chunk") * CHUNK + F.col("p")).alias("i0"), "code")
 
 
+def passes(n: int):
+    """For each level, from coarse to fine: the places it predicts, and their neighbours' distance (0: the first place)."""
+    if n:
+        yield np.array([0]), 0
+    stride = 1 << max(0, int(np.ceil(np.log2(max(1, n)))))
+    while stride > 1:
+        half = stride // 2
+        at = np.arange(half, n, stride)
+        if len(at):
+            yield at, half
+        stride = half
+
+
+def predicted(back: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+    """Cubic inside, linear or copied at the edges, from the values known at a level."""
+    if not half:
+        return np.zeros(len(at))
+    n = len(back)
+    pick = lambda k: back[np.clip(at + k, 0, n - 1)]
+    has = lambda k: (at + k >= 0) & (at + k < n)
+    b, c, a, e = pick(-half), pick(half), pick(-3 * half), pick(3 * half)
+    with np.errstate(invalid="ignore", over="ignore"):
+        pred = np.where(has(half), (b + c) / 2, b)
+        pred = np.where(has(half) & has(-3 * half) & has(3 * half), (-a + 9 * b + 9 * c - e) / 16, pred)
+    return np.nan_to_num(pred, nan=0, posinf=0, neginf=0)
+
+
 def interpolate(x: np.ndarray, eb: float, radius: int = 32768) -> tuple[np.ndarray, np.ndarray]:
-    """codes and reconstruction of one chunk, level by level: each level predicts the points between those
-    known, cubic inside and linear or copied at the edges. Every step is a slice."""
+    """codes (0 where the raw value stays) and reconstruction of one chunk, level by level, each from what the ones before gave back."""
     x = np.asarray(x, np.float64)
     codes, back = np.zeros(len(x), np.int64), np.zeros(len(x))
-    known = np.zeros(len(x), bool)
-    stride = 1 << max(0, int(np.ceil(np.log2(max(1, len(x))))))
-
-    def settle(at: np.ndarray, pred: np.ndarray) -> None:
+    for at, half in passes(len(x)):
+        pred = predicted(back, at, half)
         diff = x[at] - pred
         with np.errstate(invalid="ignore", over="ignore"):
             k = np.floor(np.abs(diff) / (2 * eb) + 0.5) * np.sign(diff)
@@ -138,20 +162,12 @@ def interpolate(x: np.ndarray, eb: float, radius: int = 32768) -> tuple[np.ndarr
             ok = (np.abs(value - x[at]) <= eb) & (np.abs(k) < radius)
         codes[at] = np.where(ok, np.nan_to_num(k, nan=0, posinf=0, neginf=0) + radius, 0).astype(np.int64)
         back[at] = np.where(ok, value, x[at])
-        known[at] = True
-
-    if len(x):
-        settle(np.array([0]), np.zeros(1))
-    while stride > 1:
-        half = stride // 2
-        at = np.arange(half, len(x), stride)
-        if len(at):
-            pick = lambda k: np.clip(at + k, 0, len(x) - 1)  # noqa: E731, B023
-            has = lambda k: (at + k >= 0) & (at + k < len(x))  # noqa: E731, B023
-            b, c, a, e = back[pick(-half)], back[pick(half)], back[pick(-3 * half)], back[pick(3 * half)]
-            pred = np.where(has(half), (b + c) / 2, b)
-            with np.errstate(invalid="ignore"):
-                pred = np.where(has(half) & has(-3 * half) & has(3 * half), (-a + 9 * b + 9 * c - e) / 16, pred)
-            settle(at, np.nan_to_num(pred, nan=0, posinf=0, neginf=0))
-        stride = half
     return codes, back
+
+
+def uninterpolate(codes: np.ndarray, raw: np.ndarray, eb: float, radius: int = 32768) -> np.ndarray:
+    """What interpolate gave back, from its codes, and raw values where these are 0."""
+    back = np.zeros(len(codes))
+    for at, half in passes(len(codes)):
+        back[at] = np.where(codes[at] == 0, raw[at], predicted(back, at, half) + 2 * eb * (codes[at] - radius))
+    return back

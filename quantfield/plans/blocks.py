@@ -137,8 +137,8 @@ _add("interval_capacity", interval_capacity, f"""SELECT pow(2e0, min(bits) + 1):
 
 
 def tune_choose_algorithm(spark, sf_dir):
-    """Entropy of sampled residuals, bits a value, of each candidate; the best, with a change from linear to
-    cubic or Lorenzo accepted only if it gains 2 % or 10 %."""
+    """Entropy of sampled residuals, bits a value, of each candidate; linear or cubic, whichever is
+    better, and Lorenzo if it gains 10 % on both."""
     x = event_series(spark, sf_dir)
     w = Window.partitionBy("key").orderBy("i0")
     for name, k in (("a", -3), ("b", -1), ("c", 1), ("e", 3)):
@@ -148,12 +148,12 @@ def tune_choose_algorithm(spark, sf_dir):
     rows = x.select(F.explode(F.array(*[F.struct(F.lit(k).alias("candidate"), E.lattice(F.col("x") - p, 0.5).alias("code")) for k, p in preds.items()])).alias("r")).select("r.*")
     n = rows.groupBy("candidate", "code").agg(F.count(F.lit(1)).alias("n"))
     bits = n.groupBy("candidate").agg((F.log2(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("bits"))
-    weighted = bits.withColumn("weighted", F.col("bits") * F.when(F.col("candidate") == "cubic", 1.02).when(F.col("candidate") == "lorenzo", 1.1).otherwise(1.0))
+    weighted = bits.withColumn("weighted", F.col("bits") * F.when(F.col("candidate") == "lorenzo", 1.1).otherwise(1.0))
     return weighted.agg(F.min_by("candidate", "weighted").alias("chosen"), F.round(F.min("weighted"), 6).alias("cost"))
 
 
 _L = f"(SELECT * FROM (SELECT *, lag(x, 3) OVER w AS a, lag(x, 1) OVER w AS b, lead(x, 1) OVER w AS c, lead(x, 3) OVER w AS e FROM {EVENTS} WINDOW w AS (PARTITION BY key ORDER BY i0)) WHERE a IS NOT NULL AND e IS NOT NULL AND i0 % 2 = 1)"
-_RES = " UNION ALL ".join(f"SELECT '{k}' AS candidate, {f}e0 AS f, floor((x - ({p})) / 1e0 + 0.5e0)::BIGINT AS code FROM {_L}" for k, f, p in (("linear", "1.0", "(b + c) / 2e0"), ("cubic", "1.02", "(-1e0 * a + 9e0 * b + 9e0 * c + -1e0 * e) / 16e0"), ("lorenzo", "1.1", "b")))
+_RES = " UNION ALL ".join(f"SELECT '{k}' AS candidate, {f}e0 AS f, floor((x - ({p})) / 1e0 + 0.5e0)::BIGINT AS code FROM {_L}" for k, f, p in (("linear", "1.0", "(b + c) / 2e0"), ("cubic", "1.0", "(-1e0 * a + 9e0 * b + 9e0 * c + -1e0 * e) / 16e0"), ("lorenzo", "1.1", "b")))
 _add("tune_choose_algorithm", tune_choose_algorithm, f"""SELECT min_by(candidate, w) AS chosen, round(min(w), 6) AS cost FROM (SELECT candidate, f * (log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS w FROM (SELECT candidate, f, code, count(*) AS n FROM ({_RES}) GROUP BY ALL) GROUP BY candidate, f)""")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions.config import Config
-from ..operators import codecs
+from ..operators import codecs, levels, store
 from ..operators.fields import event_series, price_series, table
 from ..operators.lorenzo import encode, quantized
-from .sqltext import EVENTS, lattice, lorenzo
+from .sqltext import EVENTS, PRICES, lattice, lorenzo
 
 QUERIES, ORACLES = {}, {}
 
@@ -99,14 +100,15 @@ _add("container_sizes", container_sizes)
 
 
 def interp_roundtrip(spark, sf_dir):
-    """Interpolation with feedback, chunk by chunk; the reconstruction stays within the bound."""
+    """Interpolation with feedback, chunk by chunk; what is read back from the codes stays within the bound."""
     x = event_series(spark, sf_dir).withColumn("chunk", F.floor(F.col("i0") / codecs.CHUNK).cast("long"))
     packed = x.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.struct("i0", "x"))).alias("s")).select("key", "chunk", F.col("s.x").alias("xs"))
 
     def run(batches):
         for b in batches:
             for key, chunk, xs in zip(*(c.to_pylist() for c in b.columns)):
-                codes, back = codecs.interpolate(np.array(xs, np.float64), 0.5)
+                codes, _ = codecs.interpolate(np.array(xs, np.float64), 0.5)
+                back = codecs.uninterpolate(codes, np.where(codes == 0, np.array(xs, np.float64), 0), 0.5)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(xs), pa.int64()), pa.array(chunk * codecs.CHUNK + np.arange(len(xs)), pa.int64()), pa.array(xs, pa.float64()), pa.array(codes, pa.int64()), pa.array(back, pa.float64())], names=["key", "i0", "x", "code", "back"])
 
     got = packed.mapInArrow(run, "key long, i0 long, x double, code long, back double")
@@ -124,7 +126,7 @@ def truncate_bytes(spark, sf_dir):
         for b in batches:
             out = []
             for v in b.column(1).to_pylist():
-                x = np.array(v, "<f4")
+                x = np.array([0.0 if y is None else y for y in v or ()], "<f4")
                 y = (x.view("<u4") & np.uint32(0xFFFF0000)).view("<f4")
                 out.append((float(np.abs(x - y).max(initial=0)), 2 * len(x)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int64())], names=["vec_id", "max_err", "bytes"])
@@ -137,7 +139,7 @@ _add("truncate_bytes", truncate_bytes, "SELECT vec_id, true AS small, 2 * len(em
 
 def lossless_fallback(spark, sf_dir):
     """For each vector the smaller of its lattice codes and its raw bytes, both compressed."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") / (2 * 2.0**-12) + 0.5).cast("long")).alias("q"), F.col("embedding").cast("array<float>").alias("x"))
+    e = table(spark, sf_dir, "embeddings").where(F.forall("embedding", lambda x: x.isNotNull())).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") / (2 * 2.0**-12) + 0.5).cast("long")).alias("q"), F.col("embedding").cast("array<float>").alias("x"))
 
     def run(batches):
         for b in batches:
@@ -151,7 +153,7 @@ def lossless_fallback(spark, sf_dir):
 _add("lossless_fallback", lossless_fallback)
 
 
-def kmeans1d_levels(spark, sf_dir):
+def quantile_levels(spark, sf_dir):
     """Equal levels fitted to the histogram of a field: cells of width 1, their quantiles at nine places."""
     x = table(spark, sf_dir, "events").select(F.floor("value").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("cell")  # the histogram's cells are bounded by the range of values
@@ -161,14 +163,55 @@ def kmeans1d_levels(spark, sf_dir):
     return c.agg(F.round(F.regr_slope("centre", F.col("level").cast("double")), 6).alias("step"), F.round(F.regr_intercept("centre", F.col("level").cast("double")), 6).alias("start"))
 
 
-_add("kmeans1d_levels", kmeans1d_levels, """SELECT round(regr_slope(centre, level), 6) AS step, round(regr_intercept(centre, level), 6) AS start FROM (
+_add("quantile_levels", quantile_levels, """SELECT round(regr_slope(centre, level), 6) AS step, round(regr_intercept(centre, level), 6) AS start FROM (
  SELECT least(8, floor(9 * (below - n / 2e0) / total)) AS level, sum(cell * n) / sum(n) AS centre FROM (
   SELECT cell, n, sum(n) OVER (ORDER BY cell) AS below, sum(n) OVER () AS total FROM (SELECT floor(value)::BIGINT AS cell, count(*) AS n FROM events GROUP BY 1)) GROUP BY 1)""")
 
 
+def kmeans1d_levels(spark, sf_dir):
+    """k, cost and centres of the best clusterings of a field's values into 1 to 9 levels: exact on a histogram of at most 512 cells."""
+    x, n = levels.bounded_histogram(table(spark, sf_dir, "events"), "value")
+    found = levels.optimal_levels(x, n, 9) if len(x) else []
+    return spark.createDataFrame([(k + 1, cost, centres.tolist()) for k, (centres, cost) in enumerate(found)], "k int, cost double, centres array<double>")
+
+
+_add("kmeans1d_levels", kmeans1d_levels)
+
+
 def level_lookup(spark, sf_dir):
     x = table(spark, sf_dir, "events").select("event_id", E.level_of(F.col("value"), 0.0, 16.0).alias("level"))
     return x.withColumn("centre", F.col("level") * E.d(16))
 
 
 _add("level_lookup", level_lookup, "SELECT event_id, floor(value / 16e0 + 0.5e0)::BIGINT AS level, floor(value / 16e0 + 0.5e0)::BIGINT * 16e0 AS centre FROM events")
+
+
+def _stored(spark, sf_dir, algorithm, bound):
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stored-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{shared.rstrip('/')}/{path.rpartition('/')[2]}" if shared else path
+    cells = price_series(spark, sf_dir)
+    store.compress(cells, Config(abs_bound=bound, algorithm=algorithm), path)
+    return cells, store.decompress(spark, path)
+
+
+def container_roundtrip(spark, sf_dir):
+    """A field written as chunks and read again, by each algorithm: cells, and whether all are within the bound."""
+    out = None
+    for algorithm in ("NOPRED", "LORENZO_REG", "INTERP", "INTERP_LORENZO"):
+        cells, got = _stored(spark, sf_dir, algorithm, 1.0)
+        both = cells.select("key", "i0", F.col("x").alias("was")).join(got, ["key", "i0"])
+        now = both.groupBy("key").agg(F.lit(algorithm).alias("algorithm"), F.count(F.lit(1)).alias("cells"), (F.max(F.abs(F.col("x") - F.col("was"))) <= 1.0).alias("within"))
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+_add("container_roundtrip", container_roundtrip, "SELECT l_suppkey AS key, algorithm, count(*) AS cells, true AS within FROM lineitem, (SELECT unnest(['NOPRED', 'LORENZO_REG', 'INTERP', 'INTERP_LORENZO']) AS algorithm) GROUP BY ALL")
+
+
+def zstd_roundtrip(spark, sf_dir):
+    """A field kept bit by bit under zstd, read again."""
+    return _stored(spark, sf_dir, "LOSSLESS", 0.0)[1]
+
+
+_add("zstd_roundtrip", zstd_roundtrip, f"SELECT key, i0, x FROM {PRICES}")

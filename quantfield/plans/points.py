@@ -111,8 +111,8 @@ BACK = f"(SELECT *, q * 1e0 AS back FROM {sql_lattice(EVENTS, 0.5)})"
 def verify_metrics(spark, sf_dir):
     e = F.col("back") - F.col("x")
     a = _reconstructed(spark, sf_dir).agg(F.max(F.abs(e)).alias("max_err"), (F.max("x") - F.min("x")).alias("r"), F.avg(e * e).alias("mse0"), F.sqrt(F.sum(e * e)).alias("l2"), F.sqrt(F.sum(F.col("back") * F.col("back"))).alias("l2b"), F.corr("x", "back").alias("c"))
-    psnr = F.when(F.col("mse0") > 0, d(20) * F.log10("r") - d(10) * F.log10("mse0"))
-    return a.select("max_err", F.round(F.col("max_err") / F.col("r"), 9).alias("max_rel"), F.round("mse0", 6).alias("mse"), F.round(psnr, 6).alias("psnr"), F.round(F.sqrt("mse0") / F.col("r"), 9).alias("nrmse"), F.round(F.col("l2") / F.col("l2b"), 9).alias("l2_rel"), F.round("c", 9).alias("correlation"))
+    psnr = F.when((F.col("mse0") > 0) & (F.col("r") > 0), d(20) * F.log10("r") - d(10) * F.log10("mse0"))
+    return a.select("max_err", F.round(F.try_divide("max_err", "r"), 9).alias("max_rel"), F.round("mse0", 6).alias("mse"), F.round(psnr, 6).alias("psnr"), F.round(F.try_divide(F.sqrt("mse0"), F.col("r")), 9).alias("nrmse"), F.round(F.try_divide("l2", "l2b"), 9).alias("l2_rel"), F.round("c", 9).alias("correlation"))
 
 
 @query("verify_pointwise_rel", f"SELECT key, round(max(CASE WHEN x <> 0 THEN abs(back - x) / abs(x) END), 9) AS max_pw_rel FROM {BACK} GROUP BY key")
@@ -121,13 +121,13 @@ def verify_pointwise_rel(spark, sf_dir):
     return _reconstructed(spark, sf_dir).groupBy("key").agg(F.round(F.max(F.when(x != 0, F.abs(F.col("back") - x) / F.abs(x))), 9).alias("max_pw_rel"))
 
 
-@query("error_autocorr", f"""SELECT key, round(coalesce(sum((e - m) * (nxt - m)) / nullif(sum((e - m) * (e - m)), 0), 0), 6) AS lag1 FROM (
+@query("error_autocorr", f"""SELECT key, round(coalesce((sum((e - m) * (nxt - m)) / nullif(count(*) - 1, 0)) / nullif(avg((e - m) * (e - m)), 0), 0), 6) AS lag1 FROM (
  SELECT key, back - x AS e, avg(back - x) OVER (PARTITION BY key) AS m, lead(back - x) OVER (PARTITION BY key ORDER BY i0) AS nxt FROM {BACK}) GROUP BY key""")
 def error_autocorr(spark, sf_dir):
     e = _reconstructed(spark, sf_dir).select("key", "i0", (F.col("back") - F.col("x")).alias("e"))
     e = e.withColumn("m", F.avg("e").over(Window.partitionBy("key"))).withColumn("nxt", F.lead("e").over(Window.partitionBy("key").orderBy("i0")))
     a, b = F.col("e") - F.col("m"), F.col("nxt") - F.col("m")
-    return e.groupBy("key").agg(F.round(F.coalesce(F.try_divide(F.sum(a * b), F.sum(a * a)), d(0)), 6).alias("lag1"))
+    return e.groupBy("key").agg(F.round(F.coalesce(F.try_divide(F.try_divide(F.sum(a * b), F.count(F.lit(1)) - 1), F.avg(a * a)), d(0)), 6).alias("lag1"))
 
 
 @query("chunked_rel_vs_global_rel", "SELECT event_type, round(0.0078125e0 * (max(value) - min(value)), 9) AS eb, round(0.0078125e0 * (SELECT max(value) - min(value) FROM events), 9) AS global_eb FROM events GROUP BY event_type")

@@ -131,10 +131,10 @@ def interp_kernels_all(spark, sf_dir):
 
 
 _FOUR = {k: "(" + " + ".join(f"{float(w)!r}e0 * {x}" for w, x in zip(ws, "abce")) + f") / {by}e0" for k, (ws, by) in E.FOUR_POINT.items()}
-_W1, _W2 = "abs((e - c) - (c - b))", "abs((c - b) - (b - a))"
+_T0, _T1 = "2e0 * b - a - c", "2e0 * c - b - e"
 _SQLS = _FOUR | {
     "cubic": "(-1e0 * a + 9e0 * b + 9e0 * c + -1e0 * e) / 16e0", "linear": "(b + c) / 2e0",
-    "akima": f"(b + c) / 2e0 + ((CASE WHEN {_W1} + {_W2} > 1e-9 THEN ({_W1} * (b - a) + {_W2} * (e - c)) / ({_W1} + {_W2}) ELSE ((b - a) + (e - c)) / 2e0 END) - (c - b)) / 8e0",
+    "akima": f"(b + c) / 2e0 + CASE WHEN abs({_T0}) + abs({_T1}) > 1e-9 THEN (({_T0}) * abs({_T1}) + ({_T1}) * abs({_T0})) / 8e0 / (abs({_T0}) + abs({_T1})) ELSE 0e0 END",
     "extrapolated": "-0.5e0 * a + 1.5e0 * b", "quad_first": "(3e0 * b + 6e0 * c + -1e0 * e) / 8e0", "quad_last": "(-1e0 * a + 6e0 * b + 3e0 * c) / 8e0",
 }
 _add("interp_kernels_all", interp_kernels_all, f"SELECT key, {', '.join(f'round(avg(abs(x - ({p}))), 6) AS {k}' for k, p in _SQLS.items())} FROM {_LINE} WHERE i0 % 2 = 1 AND a IS NOT NULL AND e IS NOT NULL GROUP BY key")
@@ -237,13 +237,22 @@ _add("md_site_detect", md_site_detect, f"""SELECT gap, count(*) AS n, gap BETWEE
   SELECT *, lag(x) OVER (PARTITION BY i0 ORDER BY i1) AS p FROM {sql_grid()} WHERE i0 < 100) WHERE p IS NOT NULL AND x <> 0 AND abs((x - p) / x) > 0.5e0) WHERE gap IS NOT NULL GROUP BY gap""")
 
 
+def fill_start(cells):
+    """first_fill, frames of cells (i0, i1, x): the frames at the end, but the first, whose cells all equal the first cell of the last."""
+    fill = cells.agg(F.max_by("x", F.struct("i0", -F.col("i1"))).alias("fill"))  # one row
+    other = cells.join(F.broadcast(fill), F.lit(True)).withColumn("other", ~F.col("x").eqNullSafe(F.col("fill")))
+    return other.agg(F.greatest(F.coalesce(F.max(F.when(F.col("other"), F.col("i0"))) + 1, F.lit(1)), F.lit(1)).alias("first_fill"), F.countDistinct("i0").alias("frames"))
+
+
 def fill_frame_detect(spark, sf_dir):
-    """Frames after the last that is not constant are fill: where they begin."""
-    f = grid(spark, sf_dir).groupBy("i0").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return f.agg(F.coalesce(F.max(F.when(F.col("lo") != F.col("hi"), F.col("i0"))) + 1, F.lit(1)).alias("first_fill"), F.count(F.lit(1)).alias("frames"))
+    """Where the fill frames of a field begin that from frame 100 on has the value of its first cell there."""
+    g = grid(spark, sf_dir)
+    return fill_start(g.withColumn("x", F.when(F.col("i0") >= 100, F.lit(0.25)).otherwise(F.col("x"))))
 
 
-_add("fill_frame_detect", fill_frame_detect, f"SELECT coalesce(max(i0) FILTER (WHERE lo <> hi) + 1, 1) AS first_fill, count(*) AS frames FROM (SELECT i0, min(x) AS lo, max(x) AS hi FROM {sql_grid()} GROUP BY i0)")
+_add("fill_frame_detect", fill_frame_detect, f"""WITH f AS (SELECT i0, i1, CASE WHEN i0 >= 100 THEN 0.25e0 ELSE x END AS x FROM {sql_grid()}),
+ v AS (SELECT x AS fill FROM f ORDER BY i0 DESC, i1 LIMIT 1), c AS (SELECT i0, bool_and(x = fill) AS alike FROM f, v GROUP BY i0)
+ SELECT greatest(1, coalesce(max(i0) FILTER (WHERE NOT alike) + 1, 1)) AS first_fill, count(*) AS frames FROM c""")
 
 
 def level_quantize_vq(spark, sf_dir):
