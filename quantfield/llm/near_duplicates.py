@@ -12,8 +12,10 @@ MARGIN are dropped. All the rest is confirmed on full sets.
 
 Documents with equal sets are one candidate. Groups are cut into blocks of about BLOCK members, and blocks
 compared pairwise in numpy, so no task holds a group whole. A first round confirms only a forest that
-joins the components in each pair of blocks, highest estimates first; a second all pairs left between
-components. A pair counts in the first band that both share, so groups of several bands give it once.
+joins the components in each pair of blocks, highest estimates first; a second compares what is left between
+components. There sets of at most WHOLE shingles come along whole, so that their links are counted exactly and
+again a forest of them is enough; only pairs with a larger set are still chosen by their estimate.
+A pair counts in the first band that both share, so groups of several bands give it once.
 Links within a component add nothing to it, so the components are those of all candidate pairs.
 
 Defined results: a null text or one without words has an empty set and no links. Texts with fewer words
@@ -41,6 +43,9 @@ SMALL = 75
 #: How far under the threshold an estimate may be: 4.2 standard deviations of the estimate there, which were 0.020 to
 #: 0.026 in simulations with sets of 66 to 5000 shingles (borrowed registers make it more than sqrt(0.85 * 0.15 / 256)).
 MARGIN = 0.11
+#: In the second round sets of at most this many shingles (8 bytes each) come along whole. Their pairs are left uncounted
+#: only where the estimate is further than WIDE under the threshold, about ten standard deviations.
+WHOLE, WIDE = 1024, 0.25
 BLOCK = 1024
 #: Words whose hashes a worker remembers; beyond it begins anew.
 WORDS_KEPT = 200_000
@@ -160,27 +165,29 @@ def band_marks(reg: np.ndarray) -> np.ndarray:
 
 
 class Overlaps:
-    """Shingles that small sets share, one left set with all right ones at a time."""
+    """Shingles that a left set shares with some of the right ones, where both come whole."""
 
     def __init__(self, left: list[bytes | None], right: list[bytes | None]):
         raw = [x or b"" for x in (*left, *right)]
         known, ids = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
-        ends = np.cumsum([len(x) // 8 for x in raw])
         self.mark = np.zeros(len(known), bool)
-        self.left = np.split(ids, ends[: len(left)])[: len(left)]
-        self.right = ids[ends[len(left) - 1] :]
-        self.ends = ends[len(left) :] - ends[len(left) - 1]
-
-    def __call__(self, j: int) -> np.ndarray:
-        self.mark[self.left[j]] = True
-        found = np.append(0, np.cumsum(self.mark[self.right]))[self.ends]
-        self.mark[self.left[j]] = False
+        self.sets = np.split(ids, np.cumsum([len(x) // 8 for x in raw])[:-1])
+        self.first = len(left)
+
+    def __call__(self, j: int, to: np.ndarray) -> np.ndarray:
+        self.mark[self.sets[j]] = True
+        others = [self.sets[self.first + k] for k in to.tolist()]
+        ends = np.cumsum([len(x) for x in others])
+        found = np.append(0, np.cumsum(self.mark[np.concatenate(others)]))[ends]
+        self.mark[self.sets[j]] = False
         return np.diff(found, prepend=0)
 
 
 def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
-    """a, b (a < b): pairs of different components that reach the threshold or whose estimate is near it or over it. every: all of
-    them; otherwise a forest that joins the components of each pair of blocks. A pair counts in the first band that both share."""
+    """a, b (a < b): pairs of different components that reach the threshold, or whose estimate is near it or over it where a set does
+    not come whole. A forest that joins the components of each pair of blocks; every: a forest of the links that are sure, and all
+    of the others. A pair counts in the first band that both share."""
+    limit = WHOLE if every else SMALL
 
     def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
         head: dict[int, int] = {}
@@ -217,22 +224,27 @@ def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
                         new &= ~(mb[:, :band] == ma[j, :band]).any(1)
                     to = np.flatnonzero(new & (100 * np.minimum(nb, na[j]) >= PERCENT * np.maximum(nb, na[j])))
                     e, near = np.zeros(len(to)), np.zeros(len(to), bool)
-                    exact = (nb[to] <= SMALL) & (na[j] <= SMALL)
-                    if exact.any():
-                        some = to[exact]
-                        both = shared(j)[some]
-                        union = na[j] + nb[some] - both
-                        e[exact], near[exact] = both / union, 100 * both >= PERCENT * union
-                    if not exact.all():
-                        e[~exact] = estimate((xb[to[~exact]] == xa[j]).sum(1))
-                        near[~exact] = e[~exact] >= PERCENT / 100 - MARGIN
-                    to, e = to[near], e[near]
-                    found.append((np.full(len(to), ra[j]), rb[to], e, np.full(len(to), ca[j]), cb[to]))
-                a, b, e, c, d = (np.concatenate(x) for x in zip(*found))
-                if not every:
-                    order = np.lexsort((b, a, -e))
+                    exact = (nb[to] <= limit) & (na[j] <= limit)
+                    guess = ~exact | (np.maximum(nb[to], na[j]) > SMALL)
+                    if guess.any():
+                        e[guess] = estimate((xb[to[guess]] == xa[j]).sum(1))
+                        near[guess] = e[guess] >= PERCENT / 100 - MARGIN
+                    count = np.flatnonzero(exact & (~guess | (e >= PERCENT / 100 - WIDE)))
+                    near[exact] = False
+                    if len(count):
+                        both = shared(j, to[count])
+                        union = na[j] + nb[to[count]] - both
+                        e[count], near[count] = both / union, 100 * both >= PERCENT * union
+                    to, e, exact = to[near], e[near], exact[near]
+                    found.append((np.full(len(to), ra[j]), rb[to], e, np.full(len(to), ca[j]), cb[to], exact))
+                a, b, e, c, d, sure = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((b, a, -e))
+                if every:
+                    order, rest = order[sure[order]], order[~sure[order]]
+                    order = np.concatenate([order[forest(c[order], d[order])], rest])
+                else:
                     order = order[forest(c[order], d[order])]
-                    a, b = a[order], b[order]
+                a, b = a[order], b[order]
                 out_a.append(np.minimum(a, b))
                 out_b.append(np.maximum(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
@@ -277,17 +289,22 @@ def near_components(docs: DataFrame) -> DataFrame:
     sketch = member.select("rep", "n_shingles", "registers", "small")
     texts = confirmable(docs, member, grouped)
 
-    def labelled(label: DataFrame) -> DataFrame:
-        """Members of the keys that several components still share."""
+    def labelled(label: DataFrame, whole: bool) -> DataFrame:
+        """Members of the keys that several components still share. whole: with all sets of at most WHOLE shingles."""
         m = grouped.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_keys = m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        return m.join(open_keys, "key").join(sketch, "rep")
+        m = m.join(open_keys, "key")
+        if not whole:
+            return m.join(sketch, "rep")
+        m = materialize(m, "open")
+        sets = whole_sets(texts.join(m.select("rep").distinct(), "rep", "left_semi"))
+        return m.join(sketch.drop("small"), "rep").join(sets, "rep", "left")
 
     alone = docs.sparkSession.createDataFrame([], "node long, component long")
-    first = materialize(candidate_pairs(block_pairs(labelled(alone)), False), "pairs")
+    first = materialize(candidate_pairs(block_pairs(labelled(alone, False)), False), "pairs")
     links = materialize(confirmed(first, texts), "links")
     label = materialize(components(links), "labels")
-    rest = candidate_pairs(block_pairs(labelled(label)), True)
+    rest = candidate_pairs(block_pairs(labelled(label, True)), True)
     more = materialize(confirmed(rest.join(first, ["a", "b"], "left_anti"), texts), "links")
 
     # A doc_id with several texts joins their sets.
@@ -301,6 +318,17 @@ def near_components(docs: DataFrame) -> DataFrame:
     return linked.select("doc_id", "n_shingles", F.col("head").alias("component_id")).unionByName(alone.select("doc_id", "n_shingles", F.col("head").alias("component_id")))
 
 
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """texts: rep, text. rep, small: the sets of at most WHOLE shingles."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() if len(s) <= WHOLE else None for s in sets], pa.binary())], names=["rep", "small"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, small binary")
+
+
 def confirmable(docs: DataFrame, member: DataFrame, grouped: DataFrame) -> DataFrame:
     """rep, text: one text of each set that shares a key with another."""
     wanted = member.join(grouped.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_key")
@@ -308,10 +336,14 @@ def confirmable(docs: DataFrame, member: DataFrame, grouped: DataFrame) -> DataF
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component: one for each, and every row without a doc_id."""
+    """The rows of docs that stand for their component: one for each, and every row without a doc_id. Of several rows
+    with one doc_id the one whose text has the smallest hash stays; rows of one text are ordered by the hash of all columns."""
     heads = near_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    first = F.min_by(F.struct(*cols), F.struct(F.xxhash64("text"), F.xxhash64(*hashable)))
+    kept = docs.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,10 +225,10 @@ def test_small_sets_in_groups():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 40, r.integers(1, 30))).astype(np.uint64) for _ in range(20)]
     raw = [None if k % 5 == 2 else s.tobytes() for k, s in enumerate(sets)]
-    shared = near_duplicates.Overlaps(raw[:8], raw[8:])
+    shared, every = near_duplicates.Overlaps(raw[:8], raw[8:]), np.arange(12)
     for j in range(8):
         want = [0 if raw[j] is None or raw[8 + k] is None else len(np.intersect1d(sets[j], sets[8 + k])) for k in range(12)]
-        assert shared(j).tolist() == want
+        assert shared(j, every).tolist() == want
 
 
 def test_components(spark):
@@ -433,3 +433,25 @@ def test_urls(spark):
     assert got[8, ""].host == "h" and (9, "/p\n/q") in got
     assert all(r.verdict in ("allow", "block") for r in got.values())
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_larger_sets_are_counted_in_the_second_round(spark):
+    """A star and a chain of variants of one text, of 300 shingles and of more than WHOLE: both rounds against brute force."""
+    r = random.Random(12)
+    rows = []
+    for n in (300, near_duplicates.WHOLE + 200):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.randint(1, n // 40)):
+                w[r.randrange(n)] = f"x{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = near_duplicates.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == near_duplicates.brute_force(rows)
+
+
+def test_keep_one_of_rows_with_one_id(spark):
+    rows = [(1, "b " * 30, 2), (1, "c " * 30, 1), (1, "b " * 30, 1), (2, None, None), (None, "b", 5), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, head int")
+    runs = {tuple(sorted(map(str, near_duplicates.keep_one(docs.repartition(n)).collect()))) for n in (1, 5)}
+    assert len(runs) == 1 and len(runs.pop()) == 4
