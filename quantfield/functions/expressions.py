@@ -30,19 +30,24 @@ def bound(mode: str, value_range: Column, n: Column, abs_bound=0.0, rel_bound=0.
 # --- quantizers ------------------------------------------------------------------------------------
 
 
-def code(x: Column, pred: Column, eb: float, radius: int = 32768) -> Column:
-    """Residual in units of 2 eb, half away from zero, as radius + k; 0 where x must be kept raw."""
-    diff = x - pred
-    usable = ~F.isnan(x) & (F.abs(diff) < d(2.0 * radius * eb))
-    half = F.floor(F.when(usable, F.abs(diff) * d(1 / eb))) + 1
+def as_column(v) -> Column:
+    return v if isinstance(v, Column) else d(v)
+
+
+def code(x: Column, pred: Column, eb, radius: int = 32768, slack: float = 1.0) -> Column:
+    """Residual in units of 2 eb, half away from zero, as radius + k; 0 where x must be kept raw. eb: a number, or a column
+    where bounds differ by cell. slack: an error up to so many times the bound is let through."""
+    diff, e = x - pred, as_column(eb)
+    usable = ~F.isnan(x) & (F.abs(diff) < d(2.0 * radius) * e)
+    half = F.floor(F.when(usable, F.try_divide(F.abs(diff), e))) + 1
     k = F.floor(half / 2).cast("long")
     signed = F.when(diff < 0, -k).otherwise(k)
-    near = F.abs(pred + d(2 * eb) * signed - x) <= d(eb)
+    near = F.abs(pred + d(2) * e * signed - x) <= d(slack) * e
     return F.when(usable & (half < 2 * radius) & near, signed + radius).otherwise(F.lit(0)).cast("long")
 
 
-def recovered(code_: Column, pred: Column, raw: Column, eb: float, radius: int = 32768) -> Column:
-    return F.when(code_ != 0, pred + d(2 * eb) * (code_ - radius)).otherwise(raw)
+def recovered(code_: Column, pred: Column, raw: Column, eb, radius: int = 32768) -> Column:
+    return F.when(code_ != 0, pred + d(2) * as_column(eb) * (code_ - radius)).otherwise(raw)
 
 
 def lattice(x: Column, eb: float) -> Column:
@@ -108,3 +113,10 @@ def akima(a, b, c, e):
     these bend the same way (Akima's weights: each bend by the size of the other)."""
     u, v = a - d(2) * b + c, b - d(2) * c + e
     return (b + c) / d(2) - F.when((u * v > d(0)) & (F.abs(u) + F.abs(v) > d(1e-9)), d(2) * u * v / (u + v)).otherwise(d(0)) / d(8)
+
+
+def pchip(a, b, c, e):
+    """The middle of the monotone cubic: slopes at both inner points are harmonic means of the slopes beside them, 0 at a turn."""
+    u, v, w = b - a, c - b, e - c
+    slope = lambda p, q: F.when(p * q > 0, d(2) * p * q / (p + q)).otherwise(d(0))
+    return (b + c) / d(2) + (slope(u, v) - slope(v, w)) / d(8)

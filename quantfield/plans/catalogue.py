@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import blocks, coding, points, stencils
+from . import blocks, coding, molecules, points, stencils, transforms
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _group in (points, stencils, blocks, coding):
+for _group in (points, transforms, stencils, molecules, blocks, coding):
     QUERIES |= _group.QUERIES
     ORACLES |= _group.ORACLES

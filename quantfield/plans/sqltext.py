@@ -36,8 +36,9 @@ def undo(src: str, group: list[str], dims: list[str], order: int = 1) -> str:
     return out
 
 
-def code(pred: str, eb: float, radius: int) -> str:
-    """The quantizer with its rule half away from zero, as radius + k or 0."""
-    r = f"(floor(abs(x - {pred}) * {1 / eb!r}e0)::BIGINT + 1)"
+def code(pred: str, eb: float | str, radius: int, slack: float = 1.0) -> str:
+    """The quantizer with its rule half away from zero, as radius + k or 0. eb: a number or a column."""
+    e = eb if isinstance(eb, str) else f"{eb!r}e0"
+    r = f"(floor(abs(x - {pred}) / {e})::BIGINT + 1)"
     k = f"({r} // 2) * CASE WHEN x - {pred} < 0 THEN -1 ELSE 1 END"
-    return f"CASE WHEN abs(x - {pred}) < {2.0 * radius * eb!r}e0 AND {r} < {2 * radius} AND abs({pred} + {2 * eb!r}e0 * ({k}) - x) <= {eb!r}e0 THEN {k} + {radius} ELSE 0 END::BIGINT"
+    return f"CASE WHEN abs(x - {pred}) < {2.0 * radius!r}e0 * {e} AND {r} < {2 * radius} AND abs({pred} + 2e0 * {e} * ({k}) - x) <= {slack!r}e0 * {e} THEN {k} + {radius} ELSE 0 END::BIGINT"
