@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +14,36 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII separators; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Texts reach Python in batches of this many rows, so a batch of long texts stays small.
-BATCH_ROWS = 500
+#: Rows come to Python in batches of at most so many, and about so many bytes.
+BATCH_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound the Arrow batches; a batch holds whole texts, so its rows are what bounds its bytes."""
+    """Bound the Arrow batches, which hold whole texts, by rows and bytes. A row is never cut, so the longest one is the least bound."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+#: What is kept in this worker process between tasks: how to let go of it, by the name of the work it is for.
+_KEPT: dict[str, Callable[[], None]] = {}
+_work = [""]
+
+
+def keeps(work: str, forget: Callable[[], None]) -> None:
+    _KEPT[work] = forget
+
+
+def working(work: str) -> None:
+    """Where a task begins. Worker processes outlive stages: what they keep for other work goes, and freed memory back to the system."""
+    if _work[0] != work:
+        _work[0] = work
+        for other, forget in _KEPT.items():
+            if other != work:
+                forget()
+        gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

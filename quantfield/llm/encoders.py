@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import keeps, working
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space other than space, tab, line feed, carriage return; and marks that join words.
@@ -186,7 +188,11 @@ class PieceEncoder:
         return out + (self._part(part) if part else [])
 
 
-@lru_cache(maxsize=4)
+_encoder = lru_cache(maxsize=4)(PieceEncoder)
+keeps("encoding", _encoder.cache_clear)
+
+
 def encoder(path: str, style: str) -> PieceEncoder:
-    """One for each worker process."""
-    return PieceEncoder(path, style)
+    """One for each worker process, until it turns to other work."""
+    working("encoding")
+    return _encoder(path, style)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, materialize, partitions, table
+from .common import configure, keeps, materialize, partitions, table, working
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -65,6 +65,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+keeps("near duplicates", _words.clear)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -130,6 +131,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_128_digest
 
+        working("near duplicates")
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             for text in b.column(1).to_pylist():
@@ -207,6 +209,7 @@ def candidate_pairs(pairs: DataFrame, every: bool) -> DataFrame:
         return kept
 
     def run(batches):
+        working("near duplicates")
         for batch in batches:
             out_a, out_b = [], []
             for k in range(batch.num_rows):
@@ -256,6 +259,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= PERCENT * union, on full sets. texts: rep, text."""
 
     def run(batches):
+        working("near duplicates")
         last, of_last = None, None
         for batch in batches:
             keep = []
@@ -322,6 +326,7 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     """texts: rep, text. rep, small: the sets of at most WHOLE shingles."""
 
     def run(batches):
+        working("near duplicates")
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() if len(s) <= WHOLE else None for s in sets], pa.binary())], names=["rep", "small"])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import configure, materialize, partitions, table
+from .common import configure, materialize, partitions, table, working
 
 WIDTH, GRAM = 200, 32
 #: Contexts of one anchor that one task compares; anchors with more are counted window by window.
@@ -123,6 +123,7 @@ def run_rows(keyed: DataFrame, width: int) -> DataFrame:
     """keyed: d1, d2, text. A row for each run: anchor, context, times, d1, d2, first, last (window starts)."""
 
     def run(batches):
+        working("repeats")
         from xxhash import xxh3_64_intdigest as digest
 
         for b in batches:
@@ -148,6 +149,7 @@ def context_rows(texts: DataFrame, width: int) -> DataFrame:
     each window of a hot anchor's run its fingerprint (key, key2) in place of bytes."""
 
     def run(batches):
+        working("repeats")
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
             for text, runs, d1, d2 in zip(*(c.to_pylist() for c in b.columns)):
@@ -260,6 +262,7 @@ def compare_contexts(contexts: DataFrame, width: int) -> DataFrame:
     """d1, d2, first, last (bytes, end excluded): the repeated stretches of the contexts of each task."""
 
     def run(batches):
+        working("repeats")
         family, owners, starts, held, size = IndexFamily(width), [], [], [], 0
 
         def add():
@@ -358,6 +361,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -
     spans = repeated_stretches(keyed.select("d1", "d2", "text"), width)
 
     def run(batches):
+        working("repeats")
         for b in batches:
             kept, merged = [], []
             for text, raw_spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):

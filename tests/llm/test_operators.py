@@ -455,3 +455,18 @@ def test_keep_one_of_rows_with_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, head int")
     runs = {tuple(sorted(map(str, near_duplicates.keep_one(docs.repartition(n)).collect()))) for n in (1, 5)}
     assert len(runs) == 1 and len(runs.pop()) == 4
+
+
+def test_workers_forget_other_work():
+    from quantfield.llm import encoders, near_duplicates
+    from quantfield.llm.common import working
+    from quantfield.llm.packing import word_vocabulary
+
+    one = encoders.encoder(word_vocabulary(), "words")
+    assert encoders.encoder(word_vocabulary(), "words") is one
+    working("near duplicates")
+    near_duplicates.shingle_set("six words make two whole shingles")
+    assert near_duplicates._words and encoders._encoder.cache_info().currsize == 0
+    again = encoders.encoder(word_vocabulary(), "words")
+    assert again is not one and not near_duplicates._words
+    assert again.ids(["a b", None]) == one.ids(["a b", None])
